@@ -47,6 +47,33 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "n_links", F.col("component").alias("component_id"), (F.col("vec_id") == F.col("component")).alias("kept"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import fold
+    from .language_id import predict, train
+
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs, fold("doc_id", 5) != 0)
+    return predict(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op7_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import fold
+    from .lm_trie import train_and_score
+
+    held_out = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
+    out = train_and_score(_table(spark, sf_dir, "documents"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op8_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import fold
+    from .quality_pu import score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs, _table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_repair_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .grammar_store import new_store, read_store
 
@@ -61,7 +88,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_exact_topk, op4_bpe_trie, op5_embedding_dedup, op9_repair_store, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_exact_topk, op4_bpe_trie, op5_embedding_dedup, op6_language_id, op7_lm_trie, op8_quality_pu, op9_repair_store, op10_simhash)}
 
 ORACLE_SQL = {
     "op3_exact_topk": """
