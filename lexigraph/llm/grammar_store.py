@@ -30,10 +30,11 @@ from .common import new_path, slices
 from .tokens import PieceEncoder, default_path
 
 MAGIC = b"LXRP1\0\0\0"
-TABLE_BITS = 20
+TABLE_BITS = 18
+MULTIPLIER = -7046029254386353131
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, min_count: int = 4, shrink: int = 4, max_rounds: int = 24):
+def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, min_count: int = 8, shrink: int = 16, max_rounds: int = 24):
     """Grammar of ids (documents end before the positions in `ends`).
 
     Returns symbols, positions of the documents' ends among them, rules of shape (n, 2) and expansion lengths.
@@ -42,44 +43,39 @@ def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, min_count: int =
     last = np.zeros(len(sym), bool)
     last[ends - 1] = True
     rules: list[np.ndarray] = []
-    sizes = [np.ones(0, np.int64)]
-    known, n_rules, threshold = None, 0, None
+    n_rules, threshold = 0, None
     lengths = np.ones(first_rule, np.int64)
     slot = np.empty(1 << TABLE_BITS, np.int64)
-    rule_of = np.zeros(1 << TABLE_BITS, np.int64)
-    for _ in range(max_rounds):
+    for turn in range(max_rounds):
         if len(sym) < 2:
             break
         code = (sym[:-1] << 32) | sym[1:]
         code[last[:-1]] = -1
-        order = np.sort(code)
-        edge = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
-        count = np.diff(np.append(edge, len(order)))
-        pair = order[edge]
-        count[pair < 0] = 0
+        # Pairs are counted in a hash table; of pairs that share a slot one is counted, and each round hashes anew.
+        pos = ((code * (MULTIPLIER + 2 * turn)) >> (64 - TABLE_BITS)) & ((1 << TABLE_BITS) - 1)
+        slot.fill(-1)
+        slot[pos] = code
+        same = slot[pos] == code
+        count = np.bincount(pos[same], minlength=1 << TABLE_BITS)
+        count[slot < 0] = 0
         top = int(count.max())
         if top < min_count:
             break
-        threshold = max(min_count, min(top, threshold if threshold else top) // shrink)
-        chosen = np.flatnonzero(count >= threshold)
-        chosen = chosen[np.argsort(count[chosen], kind="stable")]  # of pairs that share a slot the most frequent stays
-        slot.fill(-2)
-        where = ((pair[chosen] * -7046029254386353131) >> (64 - TABLE_BITS)) & ((1 << TABLE_BITS) - 1)
-        slot[where] = pair[chosen]
-        kept = chosen[slot[where] == pair[chosen]]
-        pos = ((code * -7046029254386353131) >> (64 - TABLE_BITS)) & ((1 << TABLE_BITS) - 1)
-        hit = np.flatnonzero(slot[pos] == code)
+        threshold = max(min_count, min(top, threshold or top) // shrink)
+        frequent = count >= threshold
+        hit = np.flatnonzero(same & frequent[pos])
         # Among overlapping hits every other one of a run is taken, from its left.
         run = np.concatenate(([True], np.diff(hit) != 1))
         begin = np.maximum.accumulate(np.where(run, hit, 0))
         hit = hit[(hit - begin) % 2 == 0]
-        used, inverse = np.unique(code[hit], return_inverse=True)
-        if not len(used):
-            break
+        taken = np.zeros(1 << TABLE_BITS, bool)
+        taken[pos[hit]] = True
+        rank = np.cumsum(taken) - 1
+        used = slot[taken]
         new = np.column_stack((used >> 32, used & 0xFFFFFFFF))
         rules.append(new)
         lengths = np.concatenate((lengths, lengths[new[:, 0]] + lengths[new[:, 1]]))
-        sym[hit] = first_rule + n_rules + inverse
+        sym[hit] = first_rule + n_rules + rank[pos[hit]]
         last[hit] = last[hit + 1]
         n_rules += len(used)
         stay = np.ones(len(sym), bool)

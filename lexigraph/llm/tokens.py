@@ -2,8 +2,8 @@
 
 A text is cut at single spaces; what the library's pre-tokenizer makes of a piece that starts with
 such a space doesn't depend on its neighbours unless white space meets on both sides of the cut, or
-the piece holds an added token. Pieces are therefore encoded once each and remembered in a bounded
-cache; other texts go to the library whole.
+the piece holds an added token. The distinct pieces of a batch are split into words with Arrow; words are
+encoded once each by the library's model and remembered in a bounded cache. Other texts are split by the library.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ import pyarrow.compute as pc
 
 #: A space with white space before and after it (or the end): the cut there isn't safe.
 UNSAFE_CUT = re.compile(r"[\s᠎] (?:[\s᠎]|\Z)")
-#: Letters that every Unicode version counts as such, then marks that aren't letters, digits, spaces or apostrophes.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ſ]+)([!#-&(-/:-@\[-`{-~]*)")
+#: Letters that every Unicode version counts as such, and marks that aren't letters, digits, spaces or apostrophes.
+LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ſ]", r"[!#-&(-/:-@\[-`{-~]"
+#: Pieces whose words are plain: letters (after the cut's space), marks, a line end, letters, marks.
+PLAIN = rf"^(?P<a>{LETTERS}+)(?P<b>{MARKS}*)(?P<c>\n?)(?P<d>{LETTERS}*)(?P<e>{MARKS}*)$"
 
 
 def byte_of_char() -> dict[str, int]:
@@ -55,7 +57,6 @@ class PieceEncoder:
         self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.added_pattern = re.compile("(" + "|".join(re.escape(a) for a in sorted(self.added, key=len, reverse=True)) + ")")
         self.max_entries = max_entries
-        self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     @classmethod
@@ -66,36 +67,30 @@ class PieceEncoder:
             cls._open[key] = cls(path, **options)
         return cls._open[key]
 
-    def split(self, piece: str) -> list[str]:
-        """The pre-tokenizer's words of a piece."""
-        simple = SIMPLE.fullmatch(piece, 1 if piece[:1] == " " else 0)
-        if simple:
-            cut = simple.end(1)
-            return [piece[:cut], piece[cut:]] if cut < len(piece) else [piece]
-        return [piece[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
-
     def encode_words(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words of the pre-tokenizer, by the library's model."""
         run = self.tokenizer.model.tokenize
         shown = lambda w: w.replace(" ", "Ġ") if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(SHOWN)
         return {w: array("I", [t.id for t in run(shown(w))]).tobytes() for w in words}
 
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each piece."""
-        cut = [self.split(p) for p in pieces]
-        wanted = {w for ws in cut for w in ws}
-        new = wanted.difference(self.words)
-        if len(self.words) + len(new) > self.max_entries:
-            self.words.clear()
-            new = wanted
-        self.words.update(self.encode_words(new))
-        get = self.words.__getitem__
-        return [get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws)) for ws in cut]
+    def known_words(self, wanted: list[str]) -> list[bytes]:
+        """Ids of each word, from the cache or new."""
+        known = self.words
+        new = set(wanted).difference(known)
+        if len(known) + len(new) > self.max_entries:
+            known.clear()
+            new = set(wanted)
+        known.update(self.encode_words(new))
+        return list(map(known.__getitem__, wanted))
+
+    def encode_piece(self, piece: str) -> bytes:
+        """Ids of a piece that the library's pre-tokenizer splits."""
+        return b"".join(self.known_words([piece[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]))
 
     def whole(self, text: str) -> bytes:
         """Ids of a text that may hold added tokens and any white space."""
         parts = [p for p in self.added_pattern.split(text) if p] if self.added else [text]
-        return b"".join(array("I", [self.added[p]]).tobytes() if p in self.added else b"".join(self.encode_pieces([p])) for p in parts)
+        return b"".join(array("I", [self.added[p]]).tobytes() if p in self.added else self.encode_piece(p) for p in parts)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null is encoded as the empty text."""
@@ -113,23 +108,32 @@ class PieceEncoder:
         cut = pc.split_pattern(pa.array([texts[i] for i in safe], pa.large_string()), " ")
         begins = cut.offsets.to_numpy()
         flat = cut.values.dictionary_encode()
-        code, pieces = flat.indices.to_numpy().copy(), flat.dictionary.to_pylist()
-        # The first piece of a text has no space before it.
+        code, pieces = flat.indices.to_numpy().copy(), flat.dictionary
+        # The first piece of a text has no space before it; it is looked up apart.
         heads: dict[str, int] = {}
-        plain = [heads.setdefault(pieces[c], len(heads)) for c in code[begins[:-1]]]
-        code[begins[:-1]] = np.array(plain) + len(pieces)
-        known = self.pieces
-        new = set(pieces).difference(known)
-        if len(known) + len(new) > self.max_entries:
-            known.clear()
-            new = set(pieces)
-        new = list(new)
-        known.update(zip(new, self.encode_pieces([" " + p for p in new])))
-        coded = [*map(known.__getitem__, pieces), *self.encode_pieces(list(heads))]
+        first = [heads.setdefault(h, len(heads)) for h in pieces.take(pa.array(code[begins[:-1]])).to_pylist()]
+        fields = pc.extract_regex(pieces, pattern=PLAIN)
+        plain = fields.is_valid().to_numpy(zero_copy_only=False)
+        odd = np.flatnonzero(~plain)
+        good = fields.filter(pa.array(plain))
+        parts = [pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), good.field("a"), pa.scalar("", pa.large_string())), *(good.field(f) for f in "bcde")]
+        named = pa.concat_arrays([p.cast(pa.large_string()) for p in parts]).dictionary_encode()
+        words = self.known_words(named.dictionary.to_pylist())
+        # Five word slots a piece; odd pieces and heads fill the first one, the rest stay empty.
+        coded = [*words, *(self.encode_piece(" " + p) for p in pieces.take(pa.array(odd)).to_pylist()), *(self.encode_piece(h) if h else b"" for h in heads), b""]
+        slots = np.full((len(pieces) + len(heads), 5), len(coded) - 1, np.int64)
+        slots[np.flatnonzero(plain)] = named.indices.to_numpy().reshape(5, -1).T
+        slots[odd, 0] = len(words) + np.arange(len(odd))
+        slots[len(pieces) :, 0] = len(words) + len(odd) + np.arange(len(heads))
+        code[begins[:-1]] = np.array(first) + len(pieces)
         size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype("<i4")), pa.array(np.frombuffer(b"".join(coded), "<u4")))
+        # Ids of each distinct piece, then of the texts.
+        by_piece = lists.take(pa.array(slots.ravel())).flatten()
+        piece_size = size[slots].sum(1)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(piece_size))).astype("<i4")), by_piece)
         ids = lists.take(pa.array(code)).flatten().to_numpy().tobytes()
-        ends = np.concatenate(([0], np.cumsum(size[code])))[begins] * 4
+        ends = np.concatenate(([0], np.cumsum(piece_size[code])))[begins] * 4
         for i, a, b in zip(safe, ends[:-1].tolist(), ends[1:].tolist()):
             out[i] = ids[a:b]
         return out
