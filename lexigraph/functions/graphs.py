@@ -91,8 +91,8 @@ def parse(text: str, single: bool = True) -> Graph:
     lines = lines_of(text or "", single)
     if not lines:
         raise NotationError("nothing to parse")
-    g, limit = Graph(), len(lines) - 1
-    box, n_synsets = g.add("box", "box"), 0
+    g, limit, links = Graph(), len(lines) - 1, []
+    box = g.add("box", "box")
     synset = None
     for tokens, comment in lines:
         queue = tokens[::-1]
@@ -103,8 +103,7 @@ def parse(text: str, single: bool = True) -> Graph:
             if first and m:
                 lemma, pos, sense = m.groups()
                 synset = g.add("synset", tok, lemma=lemma, pos=pos, sense=sense, comment=comment)
-                n_synsets += 1
-                g.link(box, synset, "box-connect", "member")
+                links.append((box, synset, "box-connect", "member"))
             elif tok in BOXES:
                 if not queue:
                     raise NotationError(f"{tok} has no index")
@@ -114,7 +113,7 @@ def parse(text: str, single: bool = True) -> Graph:
                     parent = ("box", box[1] + step + 1)
                     new = g.add("box", "box", comment=comment)
                     if step:
-                        g.link(parent, new, "box-box-connect", tok)
+                        links.append((parent, new, "box-box-connect", tok))
                     box = new
             elif tok in ROLES or tok in OPERATORS:
                 if not queue:
@@ -124,29 +123,30 @@ def parse(text: str, single: bool = True) -> Graph:
                     raise NotationError(f"{tok} before any synset")
                 index = INDEX.match(target)
                 if index and tok in ROLES and target[0] in "<>":
-                    g.link(synset, ("box", box[1] + int(target.replace("<", "-").replace(">", "+"))), "syn-box-connect", tok)
+                    links.append((synset, ("box", box[1] + int(target.replace("<", "-").replace(">", "+"))), "syn-box-connect", tok))
                 elif index:
                     if target[0] in "<>":
                         raise NotationError(f"{tok} can't point to a box")
                     to = synset[1] + int(index.group(0))
                     if 0 <= to <= limit:
-                        g.link(synset, ("synset", to), kind, tok)
+                        links.append((synset, ("synset", to), kind, tok))
                     else:
                         g.suspect = True
-                        g.link(synset, g.add("constant", target, comment=comment), kind, tok)
+                        links.append((synset, g.add("constant", target, comment=comment), kind, tok))
                 elif NAME.match(target):
                     parts = [target]
                     while not parts[-1].endswith('"') or parts == ['"']:
                         if not queue:
                             raise NotationError("a quoted name has no end")
                         parts.append(queue.pop())
-                    g.link(synset, g.add("constant", " ".join(parts), comment=comment), "role", tok)
+                    links.append((synset, g.add("constant", " ".join(parts), comment=comment), "role", tok))
                 else:
-                    g.link(synset, g.add("constant", target, comment=comment), "role", tok)
+                    links.append((synset, g.add("constant", target, comment=comment), "role", tok))
             else:
                 raise NotationError(f"unknown token {tok}")
             first = False
-    # Targets were made before their synsets: keep nodes in order of kind and index where they were filled in later.
+    for link in links:
+        g.link(*link)
     return g
 
 
