@@ -178,7 +178,7 @@ class EliasFano:
         return (bucket.astype(np.uint64) << np.uint64(self.bits) | self.lows(i)).astype(np.int64)
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of each value x, or -1. Successor search within the bucket of x's high part."""
+        """Index of each value x, or -1. Successor search by halving within the bucket of x's high part (a frequent context fills its buckets)."""
         out = np.full(len(x), -1, np.int64)
         if not self.n:
             return out
@@ -186,16 +186,18 @@ class EliasFano:
         bucket = (x >> np.uint64(self.bits)).astype(np.int64)
         live = np.flatnonzero(bucket < self.buckets)
         want = x[live] & np.uint64((1 << self.bits) - 1)
-        i = self.bucket_start(bucket[live])
-        bit = i + bucket[live]
+        low, high = self.bucket_start(bucket[live]), self.bucket_start(bucket[live] + 1)
+        some = low < high
+        live, want, low, high = live[some], want[some], low[some], high[some]
         while len(live):
-            inside = (self.high[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-            live, want, i, bit = live[inside], want[inside], i[inside], bit[inside]
-            low = self.lows(i)
-            hit = low == want
-            out[live[hit]] = i[hit]
-            go = low < want
-            live, want, i, bit = live[go], want[go], i[go] + 1, bit[go] + 1
+            mid = (low + high) >> 1
+            value = self.lows(mid)
+            hit = value == want
+            out[live[hit]] = mid[hit]
+            below = value < want
+            low, high = np.where(below, mid + 1, low), np.where(below, high, mid)
+            go = ~hit & (low < high)
+            live, want, low, high = live[go], want[go], low[go], high[go]
         return out
 
 
