@@ -294,13 +294,18 @@ class Model:
 
     def successors(self, level: int, parent: np.ndarray, word: np.ndarray):
         """For pairs (node of the level above, word number; -1: none): node or -1, kept share and the context's weight."""
-        node, share, weight = np.full(len(parent), -1, np.int64), np.zeros(len(parent)), np.ones(len(parent))
+        out = np.full(len(parent), -1, np.int64), np.zeros(len(parent)), np.ones(len(parent))
         known = np.flatnonzero(parent >= 0)
-        for s, pick in self._by_shard(level, parent[known]):
-            pick = known[pick]
+        # Each distinct pair is looked up once, in order, so that neighbours touch the same pages.
+        pair, back = np.unique(parent[known] * (self.words + 1) + word[known] + 1, return_inverse=True)
+        parent, word = pair // (self.words + 1), pair % (self.words + 1) - 1
+        node, share, weight = np.full(len(pair), -1, np.int64), np.zeros(len(pair)), np.ones(len(pair))
+        for s, pick in self._by_shard(level, parent):
             arrays, base = self.levels[level][s]
             sets = self.sets[level][s]
-            context = sets["contexts"].find(parent[pick])
+            own = parent[pick]
+            new = np.concatenate(([True], own[1:] != own[:-1]))
+            context = sets["contexts"].find(own[new])[np.cumsum(new) - 1]
             pick, context = pick[context >= 0], context[context >= 0]
             weight[pick] = LEVELS[arrays["weight"][context]]
             ok = word[pick] >= 0
@@ -309,7 +314,9 @@ class Model:
             pick, i = pick[i >= 0], i[i >= 0]
             node[pick] = i + base
             share[pick] = LEVELS[arrays["share"][i]]
-        return node, share, weight
+        for whole, part in zip(out, (node, share, weight)):
+            whole[known] = part[back]
+        return out
 
     def chain(self, number: np.ndarray, begin: np.ndarray, upto: int):
         """Nodes of the n-grams that end at each token, for n = 1 .. upto, with their shares and weights."""
