@@ -154,16 +154,15 @@ class EliasFano:
             zeros[go] = 64 - np.bitwise_count(bits[go]).astype(np.int64)
             go = go[zeros[go] < left[go]]
         pos = word << 6
-        byte_left, chunk = left.copy(), bits.copy()
-        for _ in range(7):
-            z = 8 - np.bitwise_count(chunk & np.uint64(255)).astype(np.int64)
-            skip = (z < byte_left) & (byte_left > 0)
-            if not skip.any():
-                break
-            byte_left = np.where(skip, byte_left - z, byte_left)
-            pos = np.where(skip, pos + 8, pos)
-            chunk = np.where(skip, chunk >> np.uint64(8), chunk)
-        last = ZERO_AT[(chunk & np.uint64(255)).astype(np.int64), np.maximum(byte_left - 1, 0)]
+        rest, chunk = left.copy(), bits
+        for width in (32, 16, 8):  # halve the word until the byte with the zero is left
+            z = width - np.bitwise_count(chunk & np.uint64((1 << width) - 1)).astype(np.int64)
+            skip = z < rest
+            rest -= z * skip
+            step = skip * width
+            pos += step
+            chunk = chunk >> step.astype(np.uint64)
+        last = ZERO_AT[(chunk & np.uint64(255)).astype(np.int64), np.maximum(rest - 1, 0)]
         after = np.where(left > 0, pos + last + 1, word_at)  # just past the zero that closes the bucket before
         return after - bucket
 
@@ -186,7 +185,17 @@ class EliasFano:
         bucket = (x >> np.uint64(self.bits)).astype(np.int64)
         live = np.flatnonzero(bucket < self.buckets)
         want = x[live] & np.uint64((1 << self.bits) - 1)
-        low, high = self.bucket_start(bucket[live]), self.bucket_start(bucket[live] + 1)
+        low = self.bucket_start(bucket[live])
+        bit = low + bucket[live]
+        for _ in range(3):  # most buckets hold one or two values
+            inside = (self.high[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            live, want, low, bit = live[inside], want[inside], low[inside], bit[inside]
+            value = self.lows(low)
+            hit = value == want
+            out[live[hit]] = low[hit]
+            go = value < want
+            live, want, low, bit = live[go], want[go], low[go] + 1, bit[go] + 1
+        high = self.bucket_start(bucket[live] + 1)
         some = low < high
         live, want, low, high = live[some], want[some], low[some], high[some]
         while len(live):
