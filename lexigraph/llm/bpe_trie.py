@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 from .tokens import PieceEncoder, byte_of_char, default_path
 
 class TrieBPE:
@@ -158,7 +158,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids], ["id", "ids"])
 
-    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, ids array<int>").select(F.col("id").alias(id_col), "ids")
+    return rows.mapInArrow(tidy(run, "pieces"), f"id {rows.schema[0].dataType.simpleString()}, ids array<int>").select(F.col("id").alias(id_col), "ids")
 
 
 def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", tokenizer: str | None = None) -> DataFrame:
@@ -175,4 +175,4 @@ def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", token
                 texts = [b"".join([table[i] for i in x or ()]).decode("utf-8", "replace") for x in lists.slice(a, b - a).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists.slice(a, b - a), pa.array(texts, pa.string())], ["id", "ids", "decoded"])
 
-    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, ids array<int>, decoded string").select(F.col("id").alias(id_col), "ids", "decoded")
+    return rows.mapInArrow(tidy(run, "pieces"), f"id {rows.schema[0].dataType.simpleString()}, ids array<int>, decoded string").select(F.col("id").alias(id_col), "ids", "decoded")

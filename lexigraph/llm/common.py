@@ -2,15 +2,48 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
+#: What a worker process remembers between tasks: name -> function that empties it.
+CACHES: dict[str, Callable[[], object]] = {}
+
+
+def give_back() -> None:
+    """Return freed memory to the system; allocators keep it otherwise, and workers live as long as the application."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def forget_others(cache: str | None) -> None:
+    for name, empty in CACHES.items():
+        if name != cache:
+            empty()
+
+
+def tidy(run: Callable, cache: str | None = None) -> Callable:
+    """run(batches) for mapInArrow, without the memory that other operators left in the worker; `cache` names the one run() uses."""
+
+    def task(batches) -> Iterator[pa.RecordBatch]:
+        forget_others(cache)  # a function of the module, so the worker's own caches are meant
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 from .components import connected_components
 from .pairing import Forest, by_unit, to_units, unit_ranges
 
@@ -65,7 +65,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                     key = code[:, t] * tables + t
                     yield pa.RecordBatch.from_arrays([base[0], base[1], base[2], pa.array(np.full(n, t, np.int32)), pa.array(key * 4096 + min(dim, 4095)), sigs, unit], ["cls", "label_key", "copies", "table", "code", "sigs", "unit_v"])
 
-    signed = classes.select("cls", F.xxhash64("label").alias("label_key"), "copies", "v").mapInArrow(sign, "cls long, label_key long, copies long, table int, code long, sigs binary, unit_v binary")
+    signed = classes.select("cls", F.xxhash64("label").alias("label_key"), "copies", "v").mapInArrow(tidy(sign), "cls long, label_key long, copies long, table int, code long, sigs binary, unit_v binary")
     members = signed.withColumn("key", F.xxhash64("label_key", "code"))
     units = to_units(members.select("key", "label_key", "cls", "copies", "table", "sigs", "unit_v"), "key", "cls", block)
 

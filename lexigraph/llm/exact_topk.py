@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 
 def spread_pivots(sample: np.ndarray, count: int) -> np.ndarray:
     """Farthest-first choice."""
@@ -89,7 +91,7 @@ def blocks(vectors: DataFrame, size: int) -> DataFrame:
                     x = flat[at[part][:, None] + np.arange(dim)]
                     yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids[part].astype("<i8").tobytes()], pa.binary()), pa.array([x.astype("<f8").tobytes()], pa.binary())], ["dim", "ids", "data"])
 
-    return vectors.mapInArrow(run, "dim int, ids binary, data binary")
+    return vectors.mapInArrow(tidy(run), "dim int, ids binary, data binary")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, pivots: int = 32, pivot_sample: int = 2000, block: int = 4096, query_block: int = 512) -> DataFrame:
@@ -122,6 +124,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
                     out[2] += score.astype(np.int64).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["query_id", "id", "score"])
 
-    found = pairs.mapInArrow(run, "query_id long, id long, score long")
+    found = pairs.mapInArrow(tidy(run), "query_id long, id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_path, slices
+from .common import new_path, slices, tidy
 from .tokens import PieceEncoder, default_path
 
 MAGIC = b"LXRP1\0\0\0"
@@ -197,7 +197,7 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         if keys:
             yield close()
 
-    ordered.mapInArrow(run, "part int, shard int, n_docs long, n_tokens long, data binary").write.option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(tidy(run, "pieces"), "part int, shard int, n_docs long, n_tokens long, data binary").write.option("compression", "uncompressed").parquet(path)
 
 
 STORE = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("data", T.BinaryType())])
@@ -223,7 +223,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 starts = np.concatenate(([0], ends[:-1]))
                 yield pa.RecordBatch.from_arrays([pa.array(shard.keys, pa.int64()), pa.array(base + starts, pa.int64()), pa.array(ends - starts, pa.int64()), raw], ["id", "start", "n_tokens", "ids"])
 
-    return store.join(starts, ["part", "shard"]).select("base", "data").mapInArrow(run, "id long, start long, n_tokens long, ids binary")
+    return store.join(starts, ["part", "shard"]).select("base", "data").mapInArrow(tidy(run, "pieces"), "id long, start long, n_tokens long, ids binary")
 
 
 def new_store(docs: DataFrame, **options) -> str:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 SIZE = 64
 CODES = SIZE + SIZE**2 + SIZE**3
@@ -139,4 +139,4 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
             names, score = model.predict(texts) if model else (["und"] * len(texts), np.zeros(len(texts)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score)], [*batch.schema.names[:-1], "lang_pred", "lang_score"])
 
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, lang_score double")
+    return rows.mapInArrow(tidy(run), f"{schema}, lang_pred string, lang_score double")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 from .tokens import PieceEncoder, default_path
 
 
@@ -60,7 +60,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_le
                     ["id", "start", "length", "ids", "doc_tokens"],
                 )
 
-    pieces = rows.mapInArrow(run, f"id {id_type}, start long, length long, ids binary, doc_tokens long")
+    pieces = rows.mapInArrow(tidy(run, "pieces"), f"id {id_type}, start long, length long, ids binary, doc_tokens long")
     return pieces.select(
         F.col("id").alias(id_col), "start", "length", "ids", "doc_tokens",
         F.log2("length").cast("int").alias("bucket"), F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"),

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 
 def to_units(members: DataFrame, key: str, spread: str, block: int) -> DataFrame:
     """members with columns (key, unit, side, diagonal): each row once for every block pair it belongs to.
@@ -50,7 +52,7 @@ def by_unit(units: DataFrame, run: Callable[[pa.Table], Iterator[pa.RecordBatch]
         if held:
             yield from run(pa.Table.from_batches(held).combine_chunks())
 
-    return units.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(process, schema)
+    return units.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(tidy(process), schema)
 
 
 def unit_ranges(unit: np.ndarray) -> list[tuple[int, int]]:

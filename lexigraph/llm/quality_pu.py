@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import tidy, words_of
 
 #: Character classes of bytes; letters beyond ASCII count with lower-case letters.
 CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", "\t\r\x0b\x0c", ".", ",", "!", "?", ";:", "'\"`", "()[]{}", "|", "#", "$%&*@", "<>=+~^", "-_", "/\\"]
@@ -111,7 +111,7 @@ def _with_features(rows: DataFrame) -> DataFrame:
             x = [features(t.as_py()).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("label"), pa.array(x, pa.binary())], ["kind", "label", "x"])
 
-    return rows.select("kind", "label", "text").mapInArrow(run, "kind int, label int, x binary")
+    return rows.select("kind", "label", "text").mapInArrow(tidy(run), "kind int, label int, x binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 6000) -> QualityModel:
@@ -151,4 +151,4 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
                 out.append(model.score(np.stack([features(t.as_py()) for t in texts[a : a + 256]]).astype(np.float64)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(out) if out else np.zeros(0))], [*batch.schema.names[:-1], "score"])
 
-    return rows.mapInArrow(run, f"{schema}, score double")
+    return rows.mapInArrow(tidy(run), f"{schema}, score double")

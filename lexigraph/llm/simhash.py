@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, slices
+from .common import discard, materialize, slices, tidy
 from .components import connected_components
 from .pairing import Forest, by_unit, to_units, unit_ranges
 
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([simhash(t.as_py(), size) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["id", "fp"])
 
-    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, fp long").select(F.col("id").alias(id_col), "fp")
+    return rows.mapInArrow(tidy(run), f"id {rows.schema[0].dataType.simpleString()}, fp long").select(F.col("id").alias(id_col), "fp")
 
 
 def verified_links(classes: DataFrame, radius: int = 3, block: int = 4096) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete_path, discard, materialize, mix64, new_path, slices, words_of
+from .common import CACHES, delete_path, discard, materialize, mix64, new_path, slices, tidy, words_of
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -48,6 +48,7 @@ class WordHashes(dict):
 
 
 HASHES = WordHashes()
+CACHES["hashes"] = HASHES.clear
 
 
 class Rolling:
@@ -198,7 +199,7 @@ def occurrences(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 doc = np.searchsorted(text.ends, pos, "right")
                 yield pa.RecordBatch.from_arrays([pa.array(keys[a:b][doc]), pa.array(h[pos].view(np.int64))], ["row", "fp"])
 
-    return docs.select("row", "text").mapInArrow(run, "row long, fp long")
+    return docs.select("row", "text").mapInArrow(tidy(run, "hashes"), "row long, fp long")
 
 
 def stretches(flagged: DataFrame, window: int, gram: int) -> DataFrame:
@@ -237,7 +238,7 @@ def stretches(flagged: DataFrame, window: int, gram: int) -> DataFrame:
                 kinds = [pa.list_(pa.int64())] * 4 + [pa.list_(pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), batch.column("text").slice(a, b - a), pa.array(n_words, pa.int64()), *(pa.array(x, k) for x, k in zip(lists, kinds))], ["row", "text", "n_words", "fp", "start", "length", "hash", "windows"])
 
-    return flagged.select("row", "text", "fps").mapInArrow(run, "row long, text string, n_words long, fp array<long>, start array<long>, length array<long>, hash array<long>, windows array<binary>")
+    return flagged.select("row", "text", "fps").mapInArrow(tidy(run, "hashes"), "row long, text string, n_words long, fp array<long>, start array<long>, length array<long>, hash array<long>, windows array<binary>")
 
 
 def covered(table: DataFrame) -> DataFrame:
@@ -258,7 +259,7 @@ def covered(table: DataFrame) -> DataFrame:
             hashes = np.frombuffer(b"".join(batch.column("windows").to_pylist()), np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("row").take(pick), batch.column("fp").take(pick), pa.array(batch.column("start").to_numpy()[np.repeat(np.arange(len(n)), n)] + within), pa.array(hashes)], ["row", "fp", "start", "win"])
 
-    single = apart.select("row", "fp", "start", "length", "windows").mapInArrow(unpack, "row long, fp long, start long, win long")
+    single = apart.select("row", "fp", "start", "length", "windows").mapInArrow(tidy(unpack, "hashes"), "row long, fp long, start long, win long")
     again = single.groupBy("fp", "win").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     some = single.join(again, ["fp", "win"]).select("row", "start", F.lit(1).cast("long").alias("length"))
     return whole.unionByName(some)
@@ -305,7 +306,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode())
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n_words"), pa.array(removed, pa.int64()), batch.column("text"), pa.array(kept, pa.string())], ["row", "n_words", "n_removed", "text", "kept"])
 
-    out = clean.unionByName(marked.mapInArrow(cut, "row long, n_words long, n_removed long, text string, kept string"))
+    out = clean.unionByName(marked.mapInArrow(tidy(cut, "hashes"), "row long, n_words long, n_removed long, text string, kept string"))
     if plain:
         return out.withColumn(id_col, F.col("row").cast(id_type)).select(id_col, "n_words", "n_removed", "text", "kept")
     return base.select("row", "id").join(out, "row").select(F.col("id").alias(id_col), "n_words", "n_removed", "text", "kept")

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import CACHES
+
 #: A space with white space before and after it (or the end): the cut there isn't safe.
 UNSAFE_CUT = re.compile(r"[\s᠎] (?:[\s᠎]|\Z)")
 #: Letters that every Unicode version counts as such, and marks that aren't letters, digits, spaces or apostrophes.
@@ -137,3 +139,6 @@ class PieceEncoder:
         for i, a, b in zip(safe, ends[:-1].tolist(), ends[1:].tolist()):
             out[i] = ids[a:b]
         return out
+
+
+CACHES["pieces"] = PieceEncoder._open.clear
