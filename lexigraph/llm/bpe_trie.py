@@ -64,6 +64,10 @@ class TrieBPE:
                 self.token_at[node] = i
         self.size = {i: len(b) for b, i in vocab.items()}
 
+    def byte_table(self) -> pa.Array:
+        """The bytes of every id, by place."""
+        return pa.array([self.bytes_of.get(i) for i in range(max(self.bytes_of) + 1)], pa.large_binary())
+
     def reachable(self, token: int) -> bool:
         """Whether the token's own bytes are encoded as the token."""
         return token not in self.parts or (self.reachable(self.parts[token][0]) and self.reachable(self.parts[token][1]) and self.compatible(*self.parts[token], self.rank[token]))
@@ -152,7 +156,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         coder = TrieEncoder.shared(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in slices([len(t or "") for t in texts], 2_000_000):
+            for a, b in slices([len(t or "") for t in texts], 6_000_000):
                 coded = coder.encode(texts[a:b])
                 ends = np.cumsum([0, *(len(x) // 4 for x in coded)]).astype("<i4")
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")))
@@ -167,12 +171,16 @@ def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", token
     rows = coded.select(F.col(id_col), F.col(ids_col).cast("array<int>").alias("ids"))
 
     def run(batches):
-        table = TrieEncoder.shared(path).trie.bytes_of
+        table = TrieEncoder.shared(path).trie.byte_table()
         for batch in batches:
             lists = batch.column(1)
             counts = [n or 0 for n in lists.value_lengths().to_pylist()]
             for a, b in slices(counts, 2_000_000):
-                texts = [b"".join([table[i] for i in x or ()]).decode("utf-8", "replace") for x in lists.slice(a, b - a).to_pylist()]
+                raw = table.take(lists.slice(a, b - a).flatten())
+                _, offsets, data = raw.buffers()
+                at = np.frombuffer(offsets, "<i8", len(raw) + 1)[np.cumsum([0, *counts[a:b]])].tolist()
+                view = memoryview(data or b"")
+                texts = [str(view[x:y], "utf-8", "replace") for x, y in zip(at, at[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists.slice(a, b - a), pa.array(texts, pa.string())], ["id", "ids", "decoded"])
 
     return rows.mapInArrow(tidy(run, "pieces"), f"id {rows.schema[0].dataType.simpleString()}, ids array<int>, decoded string").select(F.col("id").alias(id_col), "ids", "decoded")
