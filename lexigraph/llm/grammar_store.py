@@ -2,8 +2,8 @@
 
 Documents are tokenised, put in ascending order of id and written in shards. Within a shard the most
 frequent pairs of neighbouring symbols are replaced by new nonterminals, round after round with a
-falling count threshold (all pairs at or above it in one round), until no pair occurs min_count
-times. A shard stores its rules, their expansion lengths and, for each document, where its symbols
+falling count threshold (all pairs at or above it in one round), until no counted pair occurs min_count
+times or max_rounds are made. A shard stores its rules, their expansion lengths and, for each document, where its symbols
 begin and how many tokens they stand for, so one document can be decoded alone. No pair crosses a
 document's end.
 
