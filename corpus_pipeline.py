@@ -1,4 +1,4 @@
-"""Corpus pipeline: quality classifier, language ID, SimHash near-dedup, substring dedup, packing.
+"""Corpus pipeline: quality classifier, language ID, near-dedup by shingles, substring dedup, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Rows
 with a null id are kept where a stage can't compare them. An empty table passes through as an empty table.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraph.llm import language_id, packing, quality_pu, simhash, substring_dedup
+from lexigraph.llm import language_id, packing, quality_pu, similar_texts, substring_dedup
 from lexigraph.llm.common import fold, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,10 +30,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = groups.where("doc_id <> component").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of texts linked by a similarity of 0.8 or more in 5-word shingles: the one with the smallest id.
+
+    Rows, not ids, are grouped: of rows with one id only similar ones go, and a row with a null id stays if its group has no other.
+    """
+    if docs.schema["doc_id"].dataType.simpleString() == "bigint" and not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
+        rows = docs.select(*COLUMNS, F.col("doc_id").alias("row"))
+    else:  # rows need a name of their own, which must stay the same when a task runs again
+        rows = materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "pipeline-rows")
+    tied = similar_texts.groups(rows.select("row", F.col("text").cast("string").alias("text")))
+    known = tied.join(rows.select("row", "doc_id"), "row")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    stays = known.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
+    return rows.join(stays, "row", "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,171 @@
+r"""Near-duplicate texts by the similarity of their word shingles, exact: every pair at or above the threshold links.
+
+A text's set holds the hashes (64 bits) of its runs of `size` words (A-Z lower-cased, words [^\x20\x09-\x0D]+); a shorter
+text has one run of all its words, a text without words the empty set. Similarity is |A & B| / |A | B|; two empty sets
+are equal.
+
+Candidates. A set of n shingles shares at least ceil(threshold * n) of them with any set it is similar to, so
+two similar sets share a shingle among the first n - ceil(threshold * n) + 1 of each, in any order that
+all texts agree on (prefix filter). The order puts shingles that a sample finds in many texts last and is by hash
+otherwise; the sample affects speed only. Equal sets are one class from the start.
+
+Links. For a few turns each member of a shingle's group is compared with one of the group, another each turn. Groups whose
+members lie in one component are done with; in the others all pairs from different components are compared, in block pairs (pairing.py).
+Candidates are verified by the quarter of the sets with the least hashes first, which rules out pairs that can't be similar even
+if the rest of both agreed; those that are left on whole sets, for which only their row keys are broadcast.
+
+Rows are told apart by a key of their own, so ids may be null or repeated.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import discard, materialize, slices, tidy
+from .components import connected_components
+from .pairing import by_unit, to_units, unit_ranges
+from .substring_dedup import Rolling
+
+#: Hashes below this are a set's quarter.
+QUARTER = np.uint64(1 << 62)
+#: Shingles that a sixteenth of the texts holds at least so often come last in the order, the most frequent ones of them at most so many.
+SAMPLE, OFTEN, MOST = 16, 8, 100_000
+
+
+def shingle_sets(rows: DataFrame, size: int = 5) -> DataFrame:
+    """Rows (row, n, digest, low, high) of rows (row, text): the ascending shingle hashes as bytes, cut in two, and 128 bits of them."""
+
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in slices([len(t or "") for t in texts], 3_000_000):
+                docs = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts[a:b]]
+                text = Rolling(docs)
+                h = text.at_all(size)
+                sets = []
+                for end, n in zip(text.ends.tolist(), text.size.tolist()):
+                    begin = end - n
+                    sets.append(np.unique(h[begin : end - size + 1] if n >= size else text.runs(np.arange(begin, end)[:1], n)))
+                data = [s.tobytes() for s in sets]
+                cut = [8 * int(np.searchsorted(s, QUARTER)) for s in sets]
+                low, high = [d[:c] for d, c in zip(data, cut)], [d[c:] for d, c in zip(data, cut)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in ([xxhash.xxh3_128_digest(d) for d in data], low, high))], ["row", "n", "digest", "low", "high"])
+
+    return rows.select("row", "text").mapInArrow(tidy(run, "hashes"), "row long, n long, digest binary, low binary, high binary")
+
+
+def frequent(sets: DataFrame) -> np.ndarray:
+    """Ascending hashes of shingles that many texts share, by a sample of the classes."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64))], ["shingle"])
+
+    some = sets.where(F.pmod(F.xxhash64("digest"), F.lit(SAMPLE)) == 0).select(F.concat("low", "high").alias("shingles")).mapInArrow(tidy(run), "shingle long")
+    found = some.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(MOST)
+    return np.sort(np.array([r.shingle for r in found.select("shingle").collect()], np.int64).view(np.uint64))
+
+
+def prefixes(sets: DataFrame, last: np.ndarray, share: tuple[int, int]) -> DataFrame:
+    """Rows (row, n, shingle): the shingles of each set of which similar sets have one in common."""
+    p, q = share
+
+    def run(batches):
+        for batch in batches:
+            rows, sizes = batch.column("row").to_numpy(), batch.column("n").to_numpy()
+            first = []
+            for data in batch.column("shingles").to_pylist():
+                s = np.frombuffer(data, np.uint64)
+                k = len(s) + (p * len(s)) // -q + 1 if len(s) else 0
+                if len(last):
+                    at = np.minimum(np.searchsorted(last, s), len(last) - 1)
+                    s = s[np.argsort(last[at] == s, kind="stable")]
+                first.append(s[:k])
+            count = [len(x) for x in first]
+            if sum(count):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, count)), pa.array(np.repeat(sizes, count)), pa.array(np.concatenate(first).view(np.int64))], ["row", "n", "shingle"])
+
+    return sets.select("row", "n", F.concat("low", "high").alias("shingles")).mapInArrow(tidy(run), "row long, n long, shingle long")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of rows whose sets are similar."""
+    p, q = share
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y"))):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = np.sort(np.concatenate((x, y)))
+                most = int((both[1:] == both[:-1]).sum()) + min(n - len(x), m - len(y))  # of whole sets nothing is left over
+                keep.append((p + q) * most >= p * (n + m))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
+    def tested(pairs: DataFrame, data: DataFrame) -> DataFrame:
+        whole = pairs.join(data.toDF("a", "n", "x"), "a").join(data.toDF("b", "m", "y"), "b")
+        return whole.select("a", "b", "n", "m", "x", "y").mapInArrow(tidy(run), "a long, b long")
+
+    left = materialize(tested(pairs, sets.select("row", "n", "low")), "similar-left")
+    needed = left.select(F.col("a").alias("row")).unionByName(left.select(F.col("b").alias("row"))).distinct()
+    return tested(left, sets.join(F.broadcast(needed), "row", "left_semi").select("row", "n", F.concat("low", "high")))
+
+
+def apart(tagged: DataFrame, share: tuple[int, int], block: int) -> DataFrame:
+    """Pairs (a, b) of rows (shingle, row, n, part) with one shingle, of different parts and sizes within the threshold."""
+    p, q = share
+    units = to_units(tagged, "shingle", "row", block).select("unit", "row", "n", "part", "side", "diagonal")
+
+    def run(table: pa.Table):
+        unit, row, n, part, side = (table.column(c).to_numpy() for c in ("unit", "row", "n", "part", "side"))
+        diagonal = np.asarray(table.column("diagonal").to_numpy(zero_copy_only=False), bool)
+        for a, b in unit_ranges(unit):
+            at = np.arange(a, b)
+            rows, cols = (at, at) if diagonal[a] else (at[side[a:b] == 0], at[side[a:b] == 1])
+            for c in range(0, len(rows), 256):
+                r = rows[c : c + 256]
+                fits = (part[r][:, None] != part[cols][None, :]) & (q * np.minimum(n[r][:, None], n[cols][None, :]) >= p * np.maximum(n[r][:, None], n[cols][None, :]))
+                if diagonal[a]:
+                    fits &= r[:, None] < cols[None, :]
+                i, j = np.nonzero(fits)
+                if len(i):
+                    x, y = row[r[i]], row[cols[j]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+
+    return by_unit(units, run, "a long, b long", int(tagged.sparkSession.conf.get("spark.sql.shuffle.partitions"))).distinct()
+
+
+def groups(rows: DataFrame, size: int = 5, share: tuple[int, int] = (4, 5), block: int = 4096, turns: int = 2) -> DataFrame:
+    """Rows (row, component) for rows (row long, text string), row unique: the smallest row reachable over similar pairs.
+
+    share: the threshold as a fraction.
+    """
+    sets = materialize(shingle_sets(rows, size), "similar-sets")
+    classes = materialize(sets.groupBy("digest").agg(F.min("row").alias("rep")), "similar-classes")
+    reps = classes.select(F.col("rep").alias("row"))
+    first = materialize(prefixes(sets, frequent(sets), share).join(reps, "row", "left_semi"), "similar-prefixes")
+    shared = first.groupBy("shingle").agg(F.count("*").alias("many")).where("many > 1").select("shingle")
+    members = materialize(first.join(shared, "shingle"), "similar-members")
+    discard(first)
+    links, tagged = sets.select(F.col("row").alias("a"), F.col("row").alias("b")).limit(0), members.withColumn("part", F.col("row"))
+    for turn in range(turns + 1):
+        mixed = tagged.groupBy("shingle").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.min_by(F.struct("row", "n", "part"), F.xxhash64("row", F.lit(turn))).alias("pivot")).where("x <> y")
+        if turn < turns:
+            fits = (F.col("n") * share[1] >= F.col("pivot.n") * share[0]) & (F.col("pivot.n") * share[1] >= F.col("n") * share[0])
+            pairs = tagged.join(mixed, "shingle").where((F.col("part") != F.col("pivot.part")) & fits)
+            pairs = pairs.select(F.greatest("row", "pivot.row").alias("a"), F.least("row", "pivot.row").alias("b")).distinct()
+        else:
+            pairs = apart(tagged.join(mixed.select("shingle"), "shingle"), share, block)
+        links = links.unionByName(materialize(verified(pairs, sets, share), "similar-links"))
+        parts = materialize(connected_components(links), "similar-parts")
+        tagged = members.join(parts, F.col("row") == F.col("node"), "left").select("shingle", "row", "n", F.coalesce("component", "row").alias("part"))
+    of = classes.join(parts, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    out = materialize(sets.select("row", "digest").join(of, "digest").select("row", "component"), "similar-groups")
+    discard(sets, members)
+    return out

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexigraph.llm import common, language_id, lm_trie, quality_pu, queries, simhash
+from lexigraph.llm import common, language_id, lm_trie, quality_pu, queries, similar_texts, simhash
 
 DIR = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred string"
@@ -110,3 +110,52 @@ def test_pipeline_stages(spark):
         assert stage(spark, docs.limit(0), DIR).columns == docs.columns, name
     pieces = corpus_pipeline.run(spark, DIR)
     assert pieces.select("doc_id").distinct().count() <= docs.count() and pieces.count() > 0
+
+
+def shingles_of(text):
+    return set(common.shingle_words("".join(c.lower() if c.isascii() else c for c in text or ""), 5))
+
+
+def brute_similar(sets):
+    """Component (smallest key) of each key over pairs at 0.8 or more."""
+    up = {k: k for k in sets}
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    keys = sorted(sets)
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            x, y = sets[a], sets[b]
+            if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 9 * len(x & y) >= 4 * (len(x) + len(y)):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {k: root(k) for k in keys}
+
+
+@pytest.mark.parametrize("turns, block", [(2, 4096), (0, 16)])
+def test_all_similar_texts_are_found(spark, turns, block):
+    rng = np.random.default_rng(3)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for n in (12, 60, 300):  # copies with changed words, on both sides of the threshold
+        first = [f"t{n}x{i}" for i in range(n)]
+        for _ in range(25):
+            copy = list(first)
+            for i in rng.integers(0, n, rng.integers(0, max(2, n // 25))):
+                copy[i] = f"c{rng.integers(10**9)}"
+            texts.append(" ".join(copy))
+    texts += [None, "", " \n", "a b", "A  b", "a b c d e", "a b c d f"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+    got = {r.row: r.component for r in similar_texts.groups(rows, turns=turns, block=block).collect()}
+    assert got == brute_similar({i: shingles_of(t) for i, t in enumerate(texts)})
+
+
+def test_near_duplicates_keep_a_row_of_each_group(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    near = text.replace("w50 ", "other ")  # 5 of 96 shingles differ
+    rows = [(1, text, "en"), (1, text, "en"), (1, "something else", "de"), (7, near, "fr"), (None, near, "it"), (None, "alone here", "nl"), (None, None, None), (3, "", None)]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    got = sorted(((r.doc_id, r.text, r.lang) for r in corpus_pipeline.near_duplicates(spark, docs, DIR).collect()), key=str)
+    assert got == sorted([(1, text, "en"), (1, "something else", "de"), (None, "alone here", "nl"), (3, "", None)], key=str)
