@@ -47,10 +47,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the windows of 35 words that occur more than once; untouched texts stay as they are."""
-    cut = substring_dedup.remove_repeats(docs.select("doc_id", "text")).where("kept is not null").select(F.col("doc_id").alias("_id"), "kept")
-    text = F.coalesce("kept", "text")
-    out = docs.join(cut, F.col("doc_id") == F.col("_id"), "left")
-    return out.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+    cut = substring_dedup.remove_repeats(docs, keep=COLUMNS[2:])
+    n_chars = F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept")).cast(docs.schema["n_chars"].dataType)
+    return cut.select("doc_id", F.coalesce("kept", "text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -265,17 +265,18 @@ def covered(table: DataFrame) -> DataFrame:
     return whole.unionByName(some)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 10, batches: int = 2, fanout: int = 2, log: FingerprintLog | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 10, batches: int = 2, fanout: int = 2, log: FingerprintLog | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (id, n_words, n_removed, kept string), one for each input row; kept is null where nothing went (see `text`), else the kept words joined by one space.
 
-    `text` is the row's own text. batches: documents are indexed in so many batches by a hash of the row.
+    `text` is the row's own text. keep: further columns of docs to carry along, row by row. batches: documents are indexed in so many batches by a hash of the row.
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kept_as = {c: f"keep_{c}" for c in keep}
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(k) for c, k in kept_as.items()))
     plain = id_type in ("bigint", "int") and not rows.groupBy("id").count().where("count > 1 or id is null").limit(1).count()
     if plain:
-        base = rows.select(F.col("id").cast("long").alias("row"), "id", "text")
+        base = rows.withColumn("row", F.col("id").cast("long"))
     else:  # rows need a name of their own, which must stay the same when a task runs again
         base = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "substring-rows")
     fps = materialize(occurrences(base, window, gram), "substring-fps")
@@ -307,9 +308,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n_words"), pa.array(removed, pa.int64()), batch.column("text"), pa.array(kept, pa.string())], ["row", "n_words", "n_removed", "text", "kept"])
 
     out = clean.unionByName(marked.mapInArrow(tidy(cut, "hashes"), "row long, n_words long, n_removed long, text string, kept string"))
-    if plain:
+    if plain and not keep:
         return out.withColumn(id_col, F.col("row").cast(id_type)).select(id_col, "n_words", "n_removed", "text", "kept")
-    return base.select("row", "id").join(out, "row").select(F.col("id").alias(id_col), "n_words", "n_removed", "text", "kept")
+    found = base.select("row", "id", *kept_as.values()).join(out, "row")
+    return found.select(F.col("id").alias(id_col), "n_words", "n_removed", "text", "kept", *(F.col(k).alias(c) for c, k in kept_as.items()))
 
 
 def squeezed(text, kept):

@@ -159,3 +159,11 @@ def test_near_duplicates_keep_a_row_of_each_group(spark):
     docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
     got = sorted(((r.doc_id, r.text, r.lang) for r in corpus_pipeline.near_duplicates(spark, docs, DIR).collect()), key=str)
     assert got == sorted([(1, text, "en"), (1, "something else", "de"), (None, "alone here", "nl"), (3, "", None)], key=str)
+
+
+def test_repeated_passages_keep_rows_apart(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(1, f"{passage} first", "en"), (1, f"{passage} second", "de"), (1, "third", "fr"), (None, f"{passage} fourth", "it"), (None, None, "nl")]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text, r.lang, r.n_chars) for r in corpus_pipeline.repeated_passages(spark, docs, DIR).collect()), key=str)
+    assert got == sorted([(1, "first", "en", 5), (1, "second", "de", 6), (1, "third", "fr", 5), (None, "fourth", "it", 6), (None, None, "nl", 0)], key=str)
