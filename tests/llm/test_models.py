@@ -167,3 +167,14 @@ def test_repeated_passages_keep_rows_apart(spark):
     docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(((r.doc_id, r.text, r.lang, r.n_chars) for r in corpus_pipeline.repeated_passages(spark, docs, DIR).collect()), key=str)
     assert got == sorted([(1, "first", "en", 5), (1, "second", "de", 6), (1, "third", "fr", 5), (None, "fourth", "it", 6), (None, None, "nl", 0)], key=str)
+
+
+def test_lm_query_keeps_all_ngrams(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    out = {r.doc_id: r for r in queries.op7_lm_trie(spark, DIR).collect()}
+    total, score = brute_model([t for i, t in texts.items() if not out[i].held_out], min_count=1)
+    assert out.keys() == texts.keys()
+    for i, t in texts.items():
+        n, known, base, logp = score(t)
+        assert (out[i].n_tokens, out[i].n_known, out[i].train_tokens) == (n, known, total)
+        assert out[i].score == pytest.approx(logp, abs=0.002 * n)
