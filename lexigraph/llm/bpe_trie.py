@@ -20,11 +20,12 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, tidy
-from .tokens import PieceEncoder, byte_of_char, default_path
+from .tokens import PieceEncoder, binaries, byte_of_char, default_path
 
 class TrieBPE:
     """Merges of a tokenizer.json with a byte-level BPE model, ready for the traversal."""
@@ -64,10 +65,6 @@ class TrieBPE:
                 self.token_at[node] = i
         self.size = {i: len(b) for b, i in vocab.items()}
 
-    def byte_table(self) -> pa.Array:
-        """The bytes of every id, by place."""
-        return pa.array([self.bytes_of.get(i) for i in range(max(self.bytes_of) + 1)], pa.large_binary())
-
     def reachable(self, token: int) -> bool:
         """Whether the token's own bytes are encoded as the token."""
         return token not in self.parts or (self.reachable(self.parts[token][0]) and self.reachable(self.parts[token][1]) and self.compatible(*self.parts[token], self.rank[token]))
@@ -98,7 +95,7 @@ class TrieBPE:
         """Ids of each distinct word."""
         out: dict[bytes, list[int]] = {}
         step, token_at, size, fits = self.step, self.token_at, self.size, self.fits
-        if len(fits) > 2_000_000:
+        if len(fits) > 500_000:
             fits.clear()
         path, last, ids_at, before = b"", [-1], [()], b""
         for word in sorted(words):
@@ -142,27 +139,59 @@ class TrieEncoder(PieceEncoder):
         super().__init__(path, **options)
         self.trie = TrieBPE(path)
 
-    def encode_words(self, words: set[str]) -> dict[str, bytes]:
-        ids = self.trie.encode_words({w.encode() for w in words})
-        return {w: array("I", ids[w.encode()]).tobytes() for w in words}
+    def encode_words(self, words: pa.Array) -> pa.Array:
+        raw = words.cast(pa.large_binary()).to_pylist()
+        ids = self.trie.encode_words(raw)
+        return binaries([array("I", ids[w]).tobytes() for w in raw])
+
 
+class ByteTable:
+    """The bytes of every id of a tokenizer.json, by place; made without the merges."""
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """Rows (id, ids array<int>), one for each input row."""
+    _open: dict[str, ByteTable] = {}
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        back = byte_of_char()
+        of = {i: bytes(back[c] for c in s) for s, i in spec["model"]["vocab"].items() if all(c in back for c in s)}
+        of |= {t["id"]: t["content"].encode() for t in spec.get("added_tokens", ())}
+        self.table = pa.array([of.get(i) for i in range(max(of) + 1)], pa.large_binary())
+
+    @classmethod
+    def shared(cls, path: str) -> ByteTable:
+        if path not in cls._open:
+            cls._open[path] = cls(path)
+        return cls._open[path]
+
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of documents laid end to end, as UTF-8 with replacement characters."""
+        raw = self.table.take(pa.array(ids))
+        _, offsets, data = raw.buffers()
+        at = np.frombuffer(offsets, "<i8", len(raw) + 1)[np.concatenate(([0], ends))].tolist()
+        view = memoryview(data or b"")
+        return [str(view[x:y], "utf-8", "replace") for x, y in zip(at, at[1:])]
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, with_decoded: bool = False) -> DataFrame:
+    """Rows (id, ids array<int>), one for each input row; with_decoded: also `decoded`, made from the ids in the same pass."""
     path = tokenizer or default_path()
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
 
     def run(batches):
         coder = TrieEncoder.shared(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices([len(t or "") for t in texts], 6_000_000):
-                coded = coder.encode(texts[a:b])
-                ends = np.cumsum([0, *(len(x) // 4 for x in coded)]).astype("<i4")
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids], ["id", "ids"])
+            lengths = [n or 0 for n in pc.binary_length(batch.column(1)).to_pylist()]
+            for a, b in slices(lengths, 2_500_000):
+                coded = coder.encode(batch.column(1).slice(a, b - a).to_pylist())
+                ends = np.cumsum([len(x) // 4 for x in coded])
+                flat = np.frombuffer(b"".join(coded), "<i4")
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype("<i4")), pa.array(flat))
+                decoded = [pa.array(ByteTable.shared(path).texts(flat, ends), pa.string())] if with_decoded else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids, *decoded], ["id", "ids", "decoded"][: 2 + len(decoded)])
 
-    return rows.mapInArrow(tidy(run, "pieces"), f"id {rows.schema[0].dataType.simpleString()}, ids array<int>").select(F.col("id").alias(id_col), "ids")
+    schema = f"id {rows.schema[0].dataType.simpleString()}, ids array<int>" + ", decoded string" * with_decoded
+    return rows.mapInArrow(tidy(run, "pieces"), schema).withColumnRenamed("id", id_col)
 
 
 def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", tokenizer: str | None = None) -> DataFrame:
@@ -171,16 +200,12 @@ def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", token
     rows = coded.select(F.col(id_col), F.col(ids_col).cast("array<int>").alias("ids"))
 
     def run(batches):
-        table = TrieEncoder.shared(path).trie.byte_table()
+        table = ByteTable.shared(path)
         for batch in batches:
             lists = batch.column(1)
             counts = [n or 0 for n in lists.value_lengths().to_pylist()]
-            for a, b in slices(counts, 2_000_000):
-                raw = table.take(lists.slice(a, b - a).flatten())
-                _, offsets, data = raw.buffers()
-                at = np.frombuffer(offsets, "<i8", len(raw) + 1)[np.cumsum([0, *counts[a:b]])].tolist()
-                view = memoryview(data or b"")
-                texts = [str(view[x:y], "utf-8", "replace") for x, y in zip(at, at[1:])]
+            for a, b in slices(counts, 1_000_000):
+                texts = table.texts(lists.slice(a, b - a).flatten().to_numpy(), np.cumsum(counts[a:b]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists.slice(a, b - a), pa.array(texts, pa.string())], ["id", "ids", "decoded"])
 
-    return rows.mapInArrow(tidy(run, "pieces"), f"id {rows.schema[0].dataType.simpleString()}, ids array<int>, decoded string").select(F.col("id").alias(id_col), "ids", "decoded")
+    return rows.mapInArrow(tidy(run, "pieces"), f"id {rows.schema[0].dataType.simpleString()}, ids array<int>, decoded string").withColumnRenamed("id", id_col)

@@ -31,9 +31,9 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .bpe_trie import decode, encode
+    from .bpe_trie import encode
 
-    out = decode(encode(_table(spark, sf_dir, "documents")))
+    out = encode(_table(spark, sf_dir, "documents"), with_decoded=True)
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -3,13 +3,16 @@
 A text is cut at single spaces; what the library's pre-tokenizer makes of a piece that starts with
 such a space doesn't depend on its neighbours unless white space meets on both sides of the cut, or
 the piece holds an added token. The distinct pieces of a batch are split into words with Arrow; words are
-encoded once each by the library's model and remembered in a bounded cache. Other texts are split by the library.
+encoded once each, by tiktoken's merges where these are proven equal and by the library's model otherwise; pieces are
+remembered up to a bound. Other texts are split by the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import zlib
 from array import array
 
 import numpy as np
@@ -26,6 +29,10 @@ LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ſ]", r"[!#-&(-/:-@\[-`{-~]"
 PLAIN = rf"^(?P<a>{LETTERS}+)(?P<b>{MARKS}*)(?P<c>\n?)(?P<d>{LETTERS}*)(?P<e>{MARKS}*)$"
 
 
+#: crc32 of the vocabulary files for which tests prove that FastMerges gives the library's ids.
+PROVEN = {874507786}
+
+
 def byte_of_char() -> dict[str, int]:
     """The printable stand-ins of bytes in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -44,12 +51,79 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def binaries(values: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)]).astype("<i8")
+    return pa.Array.from_buffers(pa.large_binary(), len(values), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(values))])
+
+
+class FastMerges:
+    """BPE by tiktoken: of neighbouring parts those merge whose whole comes first, whichever two parts make it.
+
+    The library's model merges only the listed parts, so both agree if no token has another split into tokens that can meet;
+    tests prove this for the vocabularies in PROVEN.
+    """
+
+    def __init__(self, data: bytes):
+        import tiktoken
+
+        model, back = json.loads(data)["model"], byte_of_char()
+        raw = lambda s: bytes(back[c] for c in s)
+        rank = {bytes([b]): b for b in range(256)}
+        for m in model["merges"]:
+            rank.setdefault(b"".join(map(raw, m if isinstance(m, list) else m.split(" "))), len(rank))
+        self.id_of = np.array([i for _, i in sorted((rank[raw(s)], i) for s, i in model["vocab"].items() if all(c in back for c in s) and raw(s) in rank)], "<u4")
+        if len(self.id_of) != len(rank):
+            raise ValueError("a vocabulary without some of its merges")
+        self.coder = tiktoken.Encoding("words", pat_str=r"[^\x00]+|\x00", mergeable_ranks=rank, special_tokens={})._core_bpe
+
+    def encode(self, words: pa.Array) -> pa.Array:
+        """Ids of each word; no word holds a zero byte."""
+        if not len(words):
+            return binaries([])
+        found = np.frombuffer(self.coder.encode_to_tiktoken_buffer("\0".join(words.to_pylist()) + "\0", set()), np.uint32)
+        inner = found != 0
+        ends = np.cumsum(inner)[~inner]
+        ids = self.id_of[found[inner]]
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer((4 * np.concatenate(([0], ends))).astype("<i8").tobytes()), pa.py_buffer(ids.tobytes())])
+
+
+class Recent:
+    """A bounded memory of strings and their ids, kept as Arrow arrays. When it is full, what the last call asked for stays."""
+
+    def __init__(self, limit: int, limit_bytes: int = 48 << 20):
+        self.limit, self.limit_bytes = limit, limit_bytes
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.values = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def get_all(self, wanted: pa.Array, make) -> pa.Array:
+        """Values of all strings of `wanted`, each there once; make(array) gives those of unknown ones."""
+        at = pc.index_in(wanted, value_set=self.keys)
+        if not at.null_count:
+            return self.values.take(at)
+        unknown = at.is_null()
+        new = wanted.filter(unknown)
+        made = make(new)
+        place = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[unknown.to_numpy(zero_copy_only=False)] = len(self.keys) + np.arange(len(new))
+        keys, values = pa.concat_arrays([self.keys, new]), pa.concat_arrays([self.values, made])
+        got = values.take(pa.array(place))
+        if len(keys) > self.limit or keys.nbytes + values.nbytes > self.limit_bytes:
+            keys, values = wanted, got
+        if len(keys) > self.limit or keys.nbytes + values.nbytes > self.limit_bytes:
+            self.forget()
+        else:
+            self.keys, self.values = keys, values
+        return got
+
+
 class PieceEncoder:
     """Encodes texts as the tokenizers library does with add_special_tokens=False."""
 
     _open: dict = {}
 
-    def __init__(self, path: str, max_entries: int = 600_000):
+    def __init__(self, path: str, max_entries: int = 350_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -58,8 +132,10 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.added_pattern = re.compile("(" + "|".join(re.escape(a) for a in sorted(self.added, key=len, reverse=True)) + ")")
-        self.max_entries = max_entries
-        self.words: dict[str, bytes] = {}
+        with open(path, "rb") as f:
+            data = f.read()
+        self.fast = FastMerges(data) if zlib.crc32(data) in PROVEN else None
+        self.pieces, self.heads = Recent(max_entries), Recent(max_entries // 10)
 
     @classmethod
     def shared(cls, path: str, **options):
@@ -69,25 +145,36 @@ class PieceEncoder:
             cls._open[key] = cls(path, **options)
         return cls._open[key]
 
-    def encode_words(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words of the pre-tokenizer, by the library's model."""
+    def encode_words(self, words: pa.Array) -> pa.Array:
+        """Ids of each of some distinct words of the pre-tokenizer."""
+        if self.fast and not pc.any(pc.match_substring(words, "\0")).as_py():
+            return self.fast.encode(words)
         run = self.tokenizer.model.tokenize
-        shown = lambda w: w.replace(" ", "Ġ") if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(SHOWN)
-        return {w: array("I", [t.id for t in run(shown(w))]).tobytes() for w in words}
-
-    def known_words(self, wanted: list[str]) -> list[bytes]:
-        """Ids of each word, from the cache or new."""
-        known = self.words
-        new = set(wanted).difference(known)
-        if len(known) + len(new) > self.max_entries:
-            known.clear()
-            new = set(wanted)
-        known.update(self.encode_words(new))
-        return list(map(known.__getitem__, wanted))
+        return binaries([array("I", [t.id for t in run(w.encode().decode("latin-1").translate(SHOWN))]).tobytes() for w in words.to_pylist()])
 
     def encode_piece(self, piece: str) -> bytes:
         """Ids of a piece that the library's pre-tokenizer splits."""
-        return b"".join(self.known_words([piece[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]))
+        named = pa.array([piece[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)], pa.large_string()).dictionary_encode()
+        return b"".join(self.encode_words(named.dictionary).take(named.indices).to_pylist())
+
+    def encode_heads(self, heads: pa.Array) -> pa.Array:
+        return binaries([self.encode_piece(h) if h else b"" for h in heads.to_pylist()])
+
+    def encode_pieces(self, pieces: pa.Array) -> pa.Array:
+        """Ids of each of some distinct pieces with the space before it."""
+        fields = pc.extract_regex(pieces, pattern=PLAIN)
+        plain = fields.is_valid()
+        good = fields.filter(plain)
+        parts = [pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), good.field("a"), pa.scalar("", pa.large_string())), *(good.field(f) for f in "bcde")]
+        named = pa.concat_arrays([p.cast(pa.large_string()) for p in parts]).dictionary_encode()
+        words, n = self.encode_words(named.dictionary), len(good)
+        found = pc.binary_join_element_wise(*(words.take(named.indices.slice(k * n, n)) for k in range(5)), pa.scalar(b"", pa.large_binary()))
+        if n == len(pieces):
+            return found
+        other = pieces.filter(pc.invert(plain)).to_pylist()
+        order = np.empty(len(pieces), np.int64)
+        order[np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable")] = np.arange(len(pieces))
+        return pa.concat_arrays([found, binaries([self.encode_piece(" " + p) for p in other])]).take(pa.array(order))
 
     def whole(self, text: str) -> bytes:
         """Ids of a text that may hold added tokens and any white space."""
@@ -112,32 +199,15 @@ class PieceEncoder:
         flat = cut.values.dictionary_encode()
         code, pieces = flat.indices.to_numpy().copy(), flat.dictionary
         # The first piece of a text has no space before it; it is looked up apart.
-        heads: dict[str, int] = {}
-        first = [heads.setdefault(h, len(heads)) for h in pieces.take(pa.array(code[begins[:-1]])).to_pylist()]
-        fields = pc.extract_regex(pieces, pattern=PLAIN)
-        plain = fields.is_valid().to_numpy(zero_copy_only=False)
-        odd = np.flatnonzero(~plain)
-        good = fields.filter(pa.array(plain))
-        parts = [pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), good.field("a"), pa.scalar("", pa.large_string())), *(good.field(f) for f in "bcde")]
-        named = pa.concat_arrays([p.cast(pa.large_string()) for p in parts]).dictionary_encode()
-        words = self.known_words(named.dictionary.to_pylist())
-        # Five word slots a piece; odd pieces and heads fill the first one, the rest stay empty.
-        coded = [*words, *(self.encode_piece(" " + p) for p in pieces.take(pa.array(odd)).to_pylist()), *(self.encode_piece(h) if h else b"" for h in heads), b""]
-        slots = np.full((len(pieces) + len(heads), 5), len(coded) - 1, np.int64)
-        slots[np.flatnonzero(plain)] = named.indices.to_numpy().reshape(5, -1).T
-        slots[odd, 0] = len(words) + np.arange(len(odd))
-        slots[len(pieces) :, 0] = len(words) + len(odd) + np.arange(len(heads))
-        code[begins[:-1]] = np.array(first) + len(pieces)
-        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype("<i4")), pa.array(np.frombuffer(b"".join(coded), "<u4")))
-        # Ids of each distinct piece, then of the texts.
-        by_piece = lists.take(pa.array(slots.ravel())).flatten()
-        piece_size = size[slots].sum(1)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(piece_size))).astype("<i4")), by_piece)
-        ids = lists.take(pa.array(code)).flatten().to_numpy().tobytes()
-        ends = np.concatenate(([0], np.cumsum(piece_size[code])))[begins] * 4
-        for i, a, b in zip(safe, ends[:-1].tolist(), ends[1:].tolist()):
-            out[i] = ids[a:b]
+        first, place = np.unique(code[begins[:-1]], return_inverse=True)
+        code[begins[:-1]] = place + len(pieces)
+        table = pa.concat_arrays([self.pieces.get_all(pieces, self.encode_pieces), self.heads.get_all(pieces.take(pa.array(first)), self.encode_heads)])
+        taken = table.take(pa.array(code))
+        _, offsets, ids = taken.buffers()
+        ends = np.frombuffer(offsets, "<i8", len(taken) + 1)[begins].tolist()
+        view = memoryview(ids or b"")
+        for i, a, b in zip(safe, ends, ends[1:]):
+            out[i] = bytes(view[a:b])
         return out
 
 

@@ -40,12 +40,38 @@ def test_encode_and_decode_match_the_library(docs, empty, library):
     tok = Tokenizer.from_file(tokens.default_path())
     got = {r.doc_id: r for r in bpe_trie.decode(bpe_trie.encode(df)).collect()}
     assert got.keys() == texts.keys()
+    assert {r.doc_id: r for r in bpe_trie.encode(df, with_decoded=True).collect()} == got
     for k, t in texts.items():
         assert got[k].ids == library(t)
         assert got[k].decoded == tok.decode(got[k].ids, skip_special_tokens=False) == (t or "")
     assert bpe_trie.decode(bpe_trie.encode(empty)).count() == 0
 
 
+def test_pieces_are_remembered_within_bounds(library):
+    import random
+
+    rnd = random.Random(11)
+    alphabet = ["a", "B", "é", "Ġ", " ", "  ", "\n", "\t", "'s", "'", "12", "!", "?!", "漢", "\u0301", "²", "\xa0", "<|endoftext|>", "the", "ing", " of"]
+    texts = ["".join(rnd.choices(alphabet, k=rnd.randrange(40))) for _ in range(3000)]
+    for kind in (tokens.PieceEncoder, bpe_trie.TrieEncoder):
+        coder = kind(tokens.default_path(), max_entries=500)
+        for a in range(0, len(texts), 300):
+            assert [list(array("I", x)) for x in coder.encode(texts[a : a + 300])] == [library(t) for t in texts[a : a + 300]]
+        assert len(coder.pieces.keys) <= 500
+
+
+def test_fast_merges_are_the_librarys():
+    """No token has a second split into tokens that can meet before it is made, so both ways of merging agree."""
+    trie = bpe_trie.TrieBPE(tokens.default_path())
+    vocab = {b: i for i, b in trie.bytes_of.items()}
+    assert tokens.PieceEncoder(tokens.default_path()).fast
+    for i, b in trie.bytes_of.items():
+        for cut in range(1, len(b)) if i in trie.parts else ():
+            x, y = vocab.get(b[:cut]), vocab.get(b[cut:])
+            if x in trie.rank and y in trie.rank and (x, y) != trie.parts[i]:
+                assert not (trie.reachable(x) and trie.reachable(y) and trie.compatible(x, y, trie.rank[i])), b
+
+
 def test_pieces_are_powers_of_two_and_whole(docs, empty, library):
     df, texts = docs
     rows = packing.pack(df).collect()
@@ -84,6 +110,9 @@ def test_repair_replaces_repeats_and_reads_single_documents():
     docs = [np.append(np.tile(rng.integers(1, 50, 7), int(rng.integers(0, 40))), 0) for _ in range(60)]
     ids, ends = np.concatenate(docs).astype("<u4"), np.cumsum([len(d) for d in docs])
     shard = grammar_store.Shard(grammar_store.encode_shard(ids, ends, [None, *range(59)], 100, min_count=2))
+    pair = list(zip(shard.symbols.tolist(), shard.symbols[1:].tolist()))
+    inner = Counter(p for i, p in enumerate(pair, 1) if i not in set(shard.sym_ends.tolist()))
+    assert max(n for p, n in inner.items() if p[0] != p[1]) < 2  # pairs are counted exactly, to the end
     assert (shard.all() == ids).all() and shard.keys[0] is None and len(shard.symbols) < len(ids) / 3
     for i, d in enumerate(docs):
         assert (shard.document(i) == d).all() and (shard.slice(i, 2, 9) == d[2:9]).all()
