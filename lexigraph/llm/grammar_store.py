@@ -2,8 +2,8 @@
 
 Documents are tokenised, put in ascending order of id and written in shards. Within a shard the most
 frequent pairs of neighbouring symbols are replaced by new nonterminals, round after round with a
-falling count threshold (all pairs at or above it in one round), until no counted pair occurs min_count
-times or max_rounds are made. A shard stores its rules, their expansion lengths and, for each document, where its symbols
+falling count threshold (all pairs at or above it in one round; pairs are counted exactly, by sorting), until no pair occurs min_count
+times. A shard stores its rules, their expansion lengths and, for each document, where its symbols
 begin and how many tokens they stand for, so one document can be decoded alone. No pair crosses a
 document's end.
 
@@ -12,7 +12,7 @@ dataset in the shared folder, so any file system that Spark reaches will do and
 protocol covers lost executors.
 
 Null or empty text: the end id alone. Null ids sort first; repeated ids are kept as separate
-documents. An empty table gives an empty store.
+documents, in order of a hash of their texts. An empty table gives an empty store.
 """
 
 from __future__ import annotations
@@ -30,11 +30,34 @@ from .common import new_path, slices, tidy
 from .tokens import PieceEncoder, default_path
 
 MAGIC = b"LXRP1\0\0\0"
-TABLE_BITS = 18
 MULTIPLIER = -7046029254386353131
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, min_count: int = 8, shrink: int = 16, max_rounds: int = 24):
+def places(code: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """1 + the index in `pairs` (ascending) of the pair at each place; 0 for none. Hashed; pairs that share a slot go to another table."""
+    out = np.zeros(len(code), np.int32)
+    left, turn = np.arange(1, len(pairs) + 1, dtype=np.int32), 0
+    bits = max(10, len(pairs).bit_length() + 3)
+    while len(left):
+        factor = np.int64(MULTIPLIER + 2 * turn * turn)
+        slot = np.zeros(1 << bits, np.int32)
+        own = ((pairs[left - 1] * factor) >> (64 - bits)) & ((1 << bits) - 1)
+        slot[own] = left
+        found = slot[((code * factor) >> (64 - bits)) & ((1 << bits) - 1)]
+        hit = np.flatnonzero(found)
+        hit = hit[pairs[found[hit] - 1] == code[hit]]
+        out[hit] = found[hit]
+        left, turn = left[slot[own] != left], turn + 1
+        if turn == 3 and len(left):  # few are left
+            at = np.searchsorted(pairs[left - 1], code)
+            at[at == len(left)] = 0
+            same = np.flatnonzero(pairs[left - 1][at] == code)
+            out[same] = left[at[same]]
+            break
+    return out
+
+
+def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, min_count: int = 8, shrink: int = 16):
     """Grammar of ids (documents end before the positions in `ends`).
 
     Returns symbols, positions of the documents' ends among them, rules of shape (n, 2) and expansion lengths.
@@ -45,37 +68,33 @@ def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, min_count: int =
     rules: list[np.ndarray] = []
     n_rules, threshold = 0, None
     lengths = np.ones(first_rule, np.int64)
-    slot = np.empty(1 << TABLE_BITS, np.int64)
-    for turn in range(max_rounds):
-        if len(sym) < 2:
-            break
+    while len(sym) > 1:
         code = (sym[:-1] << 32) | sym[1:]
-        code[last[:-1]] = -1
-        # Pairs are counted in a hash table; of pairs that share a slot one is counted, and each round hashes anew.
-        pos = ((code * (MULTIPLIER + 2 * turn)) >> (64 - TABLE_BITS)) & ((1 << TABLE_BITS) - 1)
-        slot.fill(-1)
-        slot[pos] = code
-        same = slot[pos] == code
-        count = np.bincount(pos[same], minlength=1 << TABLE_BITS)
-        count[slot < 0] = 0
+        code[last[:-1]] = -1  # sorts first
+        ranked = np.sort(code)
+        edge = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+        count = np.diff(np.append(edge, len(ranked)))
+        pairs = ranked[edge]
+        count[pairs < 0] = 0
         top = int(count.max())
         if top < min_count:
             break
         threshold = max(min_count, min(top, threshold or top) // shrink)
-        frequent = count >= threshold
-        hit = np.flatnonzero(same & frequent[pos])
+        pairs = pairs[count >= threshold]
+        pair_at = places(code, pairs)
+        hit = np.flatnonzero(pair_at)
         # Among overlapping hits every other one of a run is taken, from its left.
         run = np.concatenate(([True], np.diff(hit) != 1))
         begin = np.maximum.accumulate(np.where(run, hit, 0))
         hit = hit[(hit - begin) % 2 == 0]
-        taken = np.zeros(1 << TABLE_BITS, bool)
-        taken[pos[hit]] = True
-        rank = np.cumsum(taken) - 1
-        used = slot[taken]
+        pair = pair_at[hit] - 1
+        taken = np.zeros(len(pairs), bool)
+        taken[pair] = True
+        used = pairs[taken]
         new = np.column_stack((used >> 32, used & 0xFFFFFFFF))
         rules.append(new)
         lengths = np.concatenate((lengths, lengths[new[:, 0]] + lengths[new[:, 1]]))
-        sym[hit] = first_rule + n_rules + rank[pos[hit]]
+        sym[hit] = first_rule + n_rules + (np.cumsum(taken) - 1)[pair]
         last[hit] = last[hit + 1]
         n_rules += len(used)
         stay = np.ones(len(sym), bool)
@@ -157,7 +176,12 @@ class Shard:
         return expand(sym[a:b], self.rules, self.first_rule)[start - before : stop - before]
 
     def all(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.first_rule)
+        """Ids of all documents: every rule is expanded once, then the symbols' expansions are put in a row."""
+        ends = 4 * np.concatenate((np.arange(self.first_rule + 1), self.first_rule + np.cumsum(self.lengths, dtype=np.int64)))
+        whole = np.concatenate((np.arange(self.first_rule, dtype="<u4"), expand(self.rules.ravel(), self.rules, self.first_rule)))
+        table = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype("<i8").tobytes()), pa.py_buffer(whole.tobytes())])
+        data = table.take(pa.array(self.symbols)).buffers()[2]
+        return np.frombuffer(data or b"", "<u4")
 
 
 def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, tokenizer: str | None = None, shard_tokens: int = 1_500_000, partition_bytes: int = 24 << 20) -> None:
@@ -166,7 +190,8 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("_text"))
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     parts = max(1, -(-size // partition_bytes))
-    ordered = rows.repartitionByRange(parts, "id").sortWithinPartitions("id") if parts > 1 else rows.coalesce(1).sortWithinPartitions("id")
+    place = ("id", F.xxhash64("_text"))  # rows that share an id, or have none, are split too
+    ordered = (rows.repartitionByRange(parts, *place) if parts > 1 else rows.coalesce(1)).sortWithinPartitions(*place)
 
     def run(batches):
         from pyspark import TaskContext
