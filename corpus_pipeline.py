@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraph.llm import language_id, packing, quality_pu, similar_texts, substring_dedup
-from lexigraph.llm.common import fold, materialize
+from lexigraph.llm import language_id, packing, quality_pu, simhash_sets, substring_dedup
+from lexigraph.llm.common import fold, marked, marks, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -32,17 +32,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts linked by a similarity of 0.8 or more in 5-word shingles: the one with the smallest id.
 
-    Rows, not ids, are grouped: of rows with one id only similar ones go, and a row with a null id stays if its group has no other.
+    SimHash with wide fingerprints, verified on whole sets (see simhash_sets). Rows, not ids, are grouped: of rows with one id only similar ones go, and a row with a null id stays if its group has no other.
     """
-    if docs.schema["doc_id"].dataType.simpleString() == "bigint" and not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
+    if docs.schema["doc_id"].dataType.simpleString() == "bigint" and not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null or doc_id < 0").limit(1).count():
         rows = docs.select(*COLUMNS, F.col("doc_id").alias("row"))
     else:  # rows need a name of their own, which must stay the same when a task runs again
         rows = materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "pipeline-rows")
-    tied = similar_texts.groups(rows.select("row", F.col("text").cast("string").alias("text")))
+    tied = simhash_sets.groups(rows.select("row", F.col("text").cast("string").alias("text")))
     known = tied.join(rows.select("row", "doc_id"), "row")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    stays = known.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
-    return rows.join(stays, "row", "left_semi").select(*COLUMNS)
+    first = known.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("component", F.col("first.row").alias("row"))
+    goes = materialize(known.join(first.select("component", F.col("row").alias("stays")), "component").where("row <> stays").select("row"), "pipeline-goes")
+    # Rows without the mark of one that goes pass by the shuffle.
+    at = materialize(marks(goes, "row"), "pipeline-marks")
+    return marked(rows, at, "row", others=True).unionByName(marked(rows, at, "row").join(goes, "row", "left_anti")).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

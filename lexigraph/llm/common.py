@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,8 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="lexigraph-"))
     return _OWN_DIR[0]
@@ -96,6 +100,37 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def hashed_words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, laid end to end, and each text's number of words; distinct words are hashed once."""
+    flat = pa.array(["" if t is None else t for t in texts], pa.large_string())
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(flat) if lower else flat)
+    words, offsets = cut.values, cut.offsets.to_numpy()
+    real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # empty ones stand at the ends of texts
+    size = np.diff(np.concatenate(([0], np.cumsum(real)))[offsets])
+    coded = words.filter(pa.array(real)).dictionary_encode()
+    digest = xxhash.xxh64_intdigest
+    table = np.array([digest(w, 20) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], np.uint64)
+    return table[coded.indices.to_numpy()], size.astype(np.int64)
+
+
+def marks(keys: DataFrame, key: str, bits: int = 24) -> DataFrame:
+    """A bit map (place, bits) of hashes of the keys: at most 2^(bits - 6) rows, however many keys there are."""
+    h = F.pmod(F.xxhash64(key, F.lit(29)), F.lit(1 << bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    return keys.select(F.shiftright(h, 6).alias("place"), bit.alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("bits"))
+
+
+def marked(rows: DataFrame, map_: DataFrame, key: str, bits: int = 24, others: bool = False) -> DataFrame:
+    """The rows whose key's mark is set, all keys of the map among them; others: the remaining rows, those with a null key among them.
+
+    The map is broadcast; its size is bounded by its making.
+    """
+    h = F.pmod(F.xxhash64(key, F.lit(29)), F.lit(1 << bits))
+    joined = rows.withColumn("_h", h).join(F.broadcast(map_.toDF("_place", "_bits")), F.shiftright("_h", 6) == F.col("_place"), "left")
+    hit = F.coalesce(F.getbit(F.col("_bits"), F.col("_h").bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
+    return joined.where(~hit if others else hit).select(*rows.columns)
+
+
 def slices(sizes: list[int], limit: int):
     """Cut range(len(sizes)) into runs of about `limit` total size, each of at least one item."""
     begin, total = 0, 0
@@ -120,3 +155,43 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def shingle_words(text: str | None, size: int) -> list[str]:
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     return [" ".join(words[i : i + size]) for i in range(len(words) - size + 1)] or ([" ".join(words)] if words else [])
+
+
+BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+class Rolling:
+    """Hashes of runs of words at every position of several documents laid end to end."""
+
+    _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+    def __init__(self, texts: list[str | None], lower: bool = False):
+        self.h, self.size = hashed_words(texts, lower)
+        self.ends = np.cumsum(self.size)
+        n = len(self.h)
+        up, down = self._grown(n + 1)
+        self.down = down
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.h * up[:n], dtype=np.uint64)))
+        #: Words from each position to its document's end.
+        self.room = np.repeat(self.ends, self.size) - np.arange(n)
+
+    @classmethod
+    def _grown(cls, n: int):
+        if len(cls._powers[0]) < n:
+            m = 1 << n.bit_length()
+            cls._powers = [np.concatenate((np.ones(1, np.uint64), np.multiply.accumulate(np.full(m, b)))) for b in (BASE, INVERSE)]
+        return cls._powers
+
+    def runs(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        return mix64((self.sums[start + length] - self.sums[start]) * self.down[start])
+
+    def at_all(self, length: int) -> np.ndarray:
+        """The hash at every position; the greatest value where the document ends before."""
+        n = len(self.h)
+        out = np.full(n, TOP)
+        if n >= length:
+            out[: n - length + 1] = mix64((self.sums[length:] - self.sums[: n - length + 1]) * self.down[: n - length + 1])
+        out[self.room < length] = TOP
+        return out

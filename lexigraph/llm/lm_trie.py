@@ -36,8 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, slices, tidy, words_of
-from .substring_dedup import HASHES
+from .common import hashed_words, new_path, slices, tidy
 
 END = 0
 LOG_STEP = 1 / 4096
@@ -247,14 +246,13 @@ def summed(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """63-bit hashes of all tokens with END before and after each text, and where each text's tokens begin."""
-    get = HASHES.__getitem__
-    docs = [words_of(t) for t in texts]
-    size = np.array([len(d) + 2 for d in docs], np.int64)
+    words, size = hashed_words(texts, lower=True)
+    size = size + 2
     begin = np.cumsum(size) - size
     out = np.zeros(int(size.sum()), np.uint64)
     inner = np.ones(len(out), bool)
     inner[begin] = inner[begin + size - 1] = False
-    out[inner] = np.maximum(np.fromiter((get(w.lower()) for d in docs for w in d), np.uint64, int(inner.sum())) >> np.uint64(1), 1)
+    out[inner] = np.maximum(words >> np.uint64(1), 1)
     return out.view(np.int64), begin
 
 
@@ -386,7 +384,7 @@ def _blobs(docs: DataFrame, spec: dict | None, level: int, buckets: int, held: i
         if total:
             yield flush()
 
-    return docs.mapInArrow(tidy(run, "hashes"), "bucket int, data binary")
+    return docs.mapInArrow(tidy(run), "bucket int, data binary")
 
 
 def _counted(blobs: DataFrame, buckets: int, min_count: int) -> DataFrame:
@@ -403,7 +401,7 @@ def _counted(blobs: DataFrame, buckets: int, min_count: int) -> DataFrame:
             for a in range(0, len(code), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(code[a : a + 200_000]), pa.array(count[a : a + 200_000])], ["code", "n"])
 
-    return blobs.repartition(buckets, "bucket").mapInArrow(tidy(run, "hashes"), "code long, n long")
+    return blobs.repartition(buckets, "bucket").mapInArrow(tidy(run), "code long, n long")
 
 
 def _write_level(counts: DataFrame, spec: dict | None, uri: str, shards: int, discount: float) -> tuple[list[tuple[str, int, int]], int, int]:
@@ -438,7 +436,7 @@ def _write_level(counts: DataFrame, spec: dict | None, uri: str, shards: int, di
         save_arrays(name, arrays)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([first], pa.int64()), pa.array([len(code)], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["part", "uri", "first", "n", "total"])
 
-    made = sorted(ordered.select("code", "n").mapInArrow(tidy(run, "hashes"), "part int, uri string, first long, n long, total long").collect())  # a row for each shard
+    made = sorted(ordered.select("code", "n").mapInArrow(tidy(run), "part int, uri string, first long, n long, total long").collect())  # a row for each shard
     base, out = 0, []
     for r in made:
         out.append((r.uri, r.first, base))
@@ -489,7 +487,7 @@ def score(docs: DataFrame, spec: dict, id_col: str = "doc_id", text_col: str = "
                 sums = [np.add.reduceat(x, begin) for x in (count > 0, *logs)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size - 1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["id", "n_tokens", "n_known", "base_score", "score"])
 
-    return rows.mapInArrow(tidy(run, "hashes"), f"id {rows.schema[0].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), f"id {rows.schema[0].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double").withColumnRenamed("id", id_col)
 
 
 def train_and_score(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

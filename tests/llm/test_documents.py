@@ -145,6 +145,23 @@ def test_repeated_windows_go(spark, docs, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_a_log_finds_repeats_in_earlier_batches(spark):
+    passage, other = " ".join(f"p{i}" for i in range(60)), " ".join(f"o{i}" for i in range(50))
+    calls = [{1: f"a {passage} b", 2: "short", 3: other}, {1: f"{passage[3:]} c", 4: None}, {5: f"x {other}", 6: f"new {passage} {other}", 7: " ".join(f"n{i}" for i in range(70))}]
+    log = substring_dedup.FingerprintLog(spark, fanout=2)
+    seen = {}
+    for k, texts in enumerate(calls):
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        got = {r.doc_id: r for r in substring_dedup.remove_repeats(df, batches=1, log=log).collect()}
+        seen |= {(k, i): t for i, t in texts.items()}
+        want = {i: v for (c, i), v in brute_removed(seen).items() if c == k}
+        assert {i: (r.n_words, r.n_removed, r.kept if r.kept is not None else " ".join(w.decode() for w in common.words_of(texts[i]))) for i, r in got.items()} == want
+    assert len(log.runs) == 2 and len(log.history) == 3
+    plan = log.hits(log.runs[0], log.runs[1:])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    log.drop()
+
+
 def test_repeated_and_null_ids_keep_their_rows(spark):
     text = " ".join(map(str, range(50)))
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (None, None)], "doc_id long, text string")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexigraph.llm import common, language_id, lm_trie, quality_pu, queries, similar_texts, simhash
+from lexigraph.llm import common, language_id, lm_trie, quality_pu, queries, simhash_sets
 
 DIR = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred string"
@@ -101,7 +101,7 @@ def test_edge_rows_and_empty_tables(spark):
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     assert corpus_pipeline.near_duplicates(spark, docs, DIR).columns == docs.columns
-    groups = {r.doc_id: r.component for r in simhash.near_duplicates(docs).collect()}
+    groups = brute_similar({r.doc_id: shingles_of(r.text) for r in docs.collect()})
     kept = corpus_pipeline.near_duplicates(spark, docs, DIR)
     assert {r.doc_id for r in kept.collect()} == {i for i, c in groups.items() if i == c}
     clean = corpus_pipeline.repeated_passages(spark, docs, DIR)
@@ -135,8 +135,8 @@ def brute_similar(sets):
     return {k: root(k) for k in keys}
 
 
-@pytest.mark.parametrize("turns, block", [(2, 4096), (0, 16)])
-def test_all_similar_texts_are_found(spark, turns, block):
+@pytest.mark.parametrize("sizes", [{}, {"block": 8}, {"group": 20}, {"block": 8, "group": 20, "unit_rows": 60}])
+def test_all_similar_texts_are_found(spark, sizes):
     rng = np.random.default_rng(3)
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     for n in (12, 60, 300):  # copies with changed words, on both sides of the threshold
@@ -148,7 +148,7 @@ def test_all_similar_texts_are_found(spark, turns, block):
             texts.append(" ".join(copy))
     texts += [None, "", " \n", "a b", "A  b", "a b c d e", "a b c d f"]
     rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
-    got = {r.row: r.component for r in similar_texts.groups(rows, turns=turns, block=block).collect()}
+    got = {r.row: r.component for r in simhash_sets.groups(rows, **sizes).collect()}
     assert got == brute_similar({i: shingles_of(t) for i, t in enumerate(texts)})
 
 
@@ -178,3 +178,20 @@ def test_lm_query_keeps_all_ngrams(spark):
         n, known, base, logp = score(t)
         assert (out[i].n_tokens, out[i].n_known, out[i].train_tokens) == (n, known, total)
         assert out[i].score == pytest.approx(logp, abs=0.002 * n)
+
+
+def test_plan_of_fingerprints():
+    assert simhash_sets.plan(1000, (4, 5), 0.002)[:2] == (16, 8)
+    for n in (10**5, 10**7, 10**10):
+        width, segments, limit = simhash_sets.plan(n, (4, 5), 0.002)
+        assert n < 5 << width and limit > 0.1516 * width * segments
+    rng = np.random.default_rng(2)
+    width, segments, limit = simhash_sets.plan(1000, (4, 5), 0.002)
+    found = 0
+    for _ in range(400):  # pairs at 0.8: 160 of 200 hashes
+        x = rng.integers(0, 1 << 63, 200, np.uint64) * np.uint64(2) + np.uint64(1)
+        y = np.concatenate((x[:178], rng.integers(0, 1 << 63, 22, np.uint64)))
+        w = np.frombuffer(simhash_sets.fingerprint(x, 128) + simhash_sets.fingerprint(y, 128), np.uint64).reshape(2, -1)
+        s = simhash_sets._segments(w, width, segments)
+        found += (np.bitwise_count(s[0] ^ s[1]) <= 2).any() and simhash_sets.distances(w[0], w[1]) <= limit
+    assert found >= 396
