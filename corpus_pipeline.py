@@ -6,11 +6,13 @@ with a null id are kept where a stage can't compare them. An empty table passes
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigraph.llm import language_id, packing, quality_pu, simhash_sets, substring_dedup
-from lexigraph.llm.common import fold, marked, marks, materialize
+from lexigraph.llm.common import fold, marked, marks, materialize, small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -60,7 +62,17 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("packing", pack)]
+
+def _ready(stage):
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [("quality", _ready(quality)), ("language", _ready(language)), ("near_duplicates", _ready(near_duplicates)), ("repeated_passages", _ready(repeated_passages)), ("packing", _ready(pack))]
 
 #: Hashes, models and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

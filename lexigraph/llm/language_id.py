@@ -5,8 +5,8 @@ count as one space) present in both, over the geometric mean of their own number
 the 62 most frequent ones of the landmarks; the n-grams are those of the landmarks. Landmark texts span the
 feature space (Nystrom), ridge regression in it gives one score a language, and scoring is two matrix products a batch.
 
-Training uses at most `per_language` labelled texts of each language, in order of a hash of the id, the first `landmarks`
-of them as landmarks; languages may be `max_languages` at most. Prediction covers whole texts.
+Training uses at most `per_language` labelled texts of each language, in order of a hash of the row, the first `landmarks`
+of them as landmarks; with many languages fewer of each (down to 4 and 2), so that about `max_rows` suffice. Prediction covers whole texts.
 
 A text that is null or without letters is `und` with score 0. Empty tables give no rows; with nothing to learn
 from, every text is `und`. Ties between languages go to the first in alphabetical order. Extra columns are ignored; null and
@@ -19,7 +19,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, tidy
@@ -101,31 +101,29 @@ def fit(texts: list[str], langs: list[str], landmarks: list[int], ridge: float =
     return model
 
 
-def train(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 250, landmarks: int = 40, max_languages: int = 200) -> LanguageModel | None:
+def train(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 250, landmarks: int = 40, max_rows: int = 20_000) -> LanguageModel | None:
     """Learn from training rows with a language; None if there are none."""
-    known = docs.where(is_training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("lang"))
-    names = sorted(r[0] for r in known.groupBy("lang").count().limit(max_languages + 1).collect())
-    if len(names) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    text = F.col(text_col).cast("string")
+    known = docs.where(is_training & F.col(lang_col).isNotNull() & text.isNotNull())
+    known = known.select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(F.col(id_col), text, F.lit(9)).alias("place"))
+    names = [r[0] for r in known.groupBy("lang").count().collect()]  # a row for each language
     if not names:
         return None
-    order = F.xxhash64("_id", F.lit(9))
-    sample = None
-    for name in names:
-        part = known.where(F.col("lang") == name).withColumn("place", order).orderBy("place").limit(per_language)
-        sample = part if sample is None else sample.unionByName(part)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(sample), "_id").select("lang", "place", "text").collect()  # per_language rows of each language
-    rows = [r for r in sorted(rows) if any(map(str.isalpha, r.text))]
+    per_language = max(4, min(per_language, max_rows // len(names)))
+    first = Window.partitionBy("lang").orderBy("place")
+    # The places are chosen without the texts; rows that share a place are equal, and the second cut bounds them.
+    chosen = known.select("lang", "place").withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language).select("lang", "place").distinct()
+    rows = known.join(F.broadcast(chosen), ["lang", "place"]).withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language)
+    rows = [r for r in sorted(rows.select("lang", "place", "text").collect()) if any(map(str.isalpha, r.text))]
     if not rows:
         return None
-    first: Counter = Counter()
-    marks = []
+    seen: Counter = Counter()
+    at = []
     for i, r in enumerate(rows):
-        first[r.lang] += 1
-        if first[r.lang] <= landmarks:
-            marks.append(i)
-    return fit([r.text for r in rows], [r.lang for r in rows], marks)
+        seen[r.lang] += 1
+        if seen[r.lang] <= max(2, min(landmarks, max_rows // 10 // len(names))):
+            at.append(i)
+    return fit([r.text for r in rows], [r.lang for r in rows], at)
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

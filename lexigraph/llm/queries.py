@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -52,8 +55,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import predict, train
 
     docs = _table(spark, sf_dir, "documents")
-    model = train(docs, fold("doc_id", 5) != 0)
-    return predict(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    model = train(docs, F.coalesce(fold("doc_id", 5) != 0, F.lit(True)))
+    return predict(docs, model).select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
 def op7_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +74,7 @@ def op8_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     model = train(docs, _table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
-    return score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return score(docs, model).select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op9_repair_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,7 +58,7 @@ def fingerprint(shingles: np.ndarray, bits: int) -> bytes:
     count = np.zeros(64 * blocks, np.int64)
     for a in range(0, len(shingles), 4096):
         part = shingles[a : a + 4096]
-        wide = np.stack([mix64(part + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k + 1)) for k in range(blocks)], 1)
+        wide = np.stack([mix64(part + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) for k in range(blocks)], 1)
         count += np.unpackbits(wide.view(np.uint8), axis=1).reshape(len(part), -1).sum(0, dtype=np.int64)
     return np.packbits(2 * count > len(shingles)).tobytes()
 
@@ -133,49 +133,58 @@ def balls(own: np.ndarray, value: np.ndarray, bits: int) -> tuple[np.ndarray, np
 
 def table_links(key: np.ndarray, at: np.ndarray, rows: np.ndarray, words: np.ndarray, limit: int, group: int, segment: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (a, b) of one segment's tables: closest neighbours, a forest, and ties of large groups to a node of their own (negative)."""
-    order = np.argsort(key, kind="stable")
-    key, at = key[order], at[order]
-    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    size = np.diff(np.append(edge, len(key)))
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    rank = np.empty(len(rows), np.int64)
+    by_rank = np.argsort(rows, kind="stable")
+    rank[by_rank] = np.arange(len(rows))
+    none = np.int64(1) << 62
+    best, forest = np.full(len(rows), none), Forest(len(rows))  # distance and rank of each row's closest neighbour
     ties_a, ties_b = [], []
-    small = np.repeat((size > 1) & (size <= 128), size)
-    k, r = key[small], at[small]
-    w = words[r]
-    for d in range(1, int(size[(size > 1) & (size <= 128)].max(initial=1))):
-        near = np.flatnonzero(k[d:] == k[:-d])
-        if not len(near):
-            break
-        far = distances(w[near], w[near + d])
-        hit = far <= limit
-        found.append((r[near[hit]], r[near[hit] + d], far[hit]))
-    for g in np.flatnonzero(size > 128).tolist():
-        members = at[edge[g] : edge[g] + size[g]]
-        if len(members) > group:
-            ties_a.append(rows[members])
-            ties_b.append(np.full(len(members), -1 - (segment << 40 | int(key[edge[g]])), np.int64))
-            continue
-        for c in range(0, len(members), 128):
-            far = distances(words[members[c : c + 128]][:, None], words[members][None])
-            i, j = np.nonzero(far <= limit)
-            up = i + c < j
-            found.append((members[i[up] + c], members[j[up]], far[i[up], j[up]]))
-    if found:
-        i, j, far = (np.concatenate(x) for x in zip(*found))
-        forest = Forest(len(rows))
-        a, b, far = np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((far, far))
-        order = np.lexsort((rows[b], far, a))
-        a, b = a[order], b[order]
-        first = np.concatenate(([True], a[1:] != a[:-1])) if len(a) else np.zeros(0, bool)
-        a, b = a[first], b[first]
-        forest.join(a, b)
-        top = forest.root(np.arange(len(rows)))
+
+    def meet(i: np.ndarray, j: np.ndarray, far: np.ndarray) -> None:
+        np.minimum.at(best, i, far << 32 | rank[j])
+        np.minimum.at(best, j, far << 32 | rank[i])
         forest.join(i, j)
-        whole = forest.root(np.arange(len(rows)))
-        more = np.flatnonzero((top == np.arange(len(rows))) & (whole != top))
-        ties_a += [rows[a], rows[more]]
-        ties_b += [rows[b], rows[whole[more]]]
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ties_a, ties_b))
+
+    begin = 0
+    while begin < len(order):  # whole keys, some 200,000 entries at once
+        end = min(begin + 200_000, len(order))
+        part = key[order[begin:]] if end == len(order) else key[order[begin : end + 1]]
+        if end < len(order):
+            last = part[-1]
+            cut = int(np.searchsorted(part, last, "left"))
+            end = begin + cut if cut else begin + int(np.searchsorted(key[order[begin:]], last, "right"))
+        r = at[order[begin:end]]
+        k = key[order[begin:end]]
+        begin = end
+        edge = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        size = np.diff(np.append(edge, len(k)))
+        for g in np.flatnonzero(size > 128).tolist():
+            members = r[edge[g] : edge[g] + size[g]]
+            if len(members) > group:
+                ties_a.append(rows[members])
+                ties_b.append(np.full(len(members), -1 - (segment << 40 | int(k[edge[g]])), np.int64))
+                continue
+            for c in range(0, len(members), 128):
+                far = distances(words[members[c : c + 128]][:, None], words[members[c:]][None])
+                i, j = np.nonzero(far <= limit)
+                up = i < j
+                meet(members[c + i[up]], members[c + j[up]], far[i[up], j[up]])
+        small = np.repeat((size > 1) & (size <= 128), size)
+        k, r = k[small], r[small]
+        w = words[r]
+        for d in range(1, int(size[(size > 1) & (size <= 128)].max(initial=1))):
+            near = np.flatnonzero(k[d:] == k[:-d])
+            far = distances(w[near], w[near + d])
+            hit = np.flatnonzero(far <= limit)
+            meet(r[near[hit]], r[near[hit] + d], far[hit])
+    a = np.flatnonzero(best < none)
+    b = by_rank[best[a] & 0xFFFFFFFF]
+    closest = Forest(len(rows))
+    closest.join(a, b)
+    top, whole = closest.root(np.arange(len(rows))), forest.root(np.arange(len(rows)))
+    more = np.flatnonzero((top == np.arange(len(rows))) & (whole != top))
+    a, b = np.concatenate([*ties_a, rows[a], rows[more]]), np.concatenate([*ties_b, rows[b], rows[whole[more]]])
     a, b = np.maximum(a, b), np.minimum(a, b)
     pair = np.unique(np.stack((a, b), 1), axis=0)
     return pair[:, 0].copy(), pair[:, 1].copy()
@@ -281,7 +290,7 @@ def tile_links(share: tuple[int, int], limit: int):
     return run
 
 
-def groups(rows: DataFrame, size: int = 5, share: tuple[int, int] = (4, 5), miss: float = 0.002, block: int = 512, group: int = 4096, unit_rows: int = 100_000) -> DataFrame:
+def groups(rows: DataFrame, size: int = 5, share: tuple[int, int] = (4, 5), miss: float = 0.002, block: int = 512, group: int = 4096, unit_rows: int = 400_000) -> DataFrame:
     """Rows (row, component) for rows (row long, text string), row unique: the smallest row reachable over similar pairs.
 
     share: the threshold as a fraction. miss: the greatest chance to overlook a pair at the threshold. The others set sizes of tasks only.

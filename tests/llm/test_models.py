@@ -84,6 +84,67 @@ def test_classifiers_on_held_out_rows(spark):
     assert (r.lang_pred == r.lang).mean() > 0.97
 
 
+def naive_grams(text, table):
+    codes = [0, *(int(table[ord(c)]) if ord(c) < 1 << 16 else 1 for c in text.lower()), 0]
+    kept = [c for i, c in enumerate(codes) if i == 0 or c or codes[i - 1]]
+    return {tuple(kept[i : i + n]) for n in (1, 2, 3) for i in range(len(kept) - n + 1)}
+
+
+def test_language_model_matches_a_naive_version(spark):
+    rows = spark.read.parquet(f"{DIR}/documents.parquet").where("lang is not null and length(text) > 50").orderBy("doc_id").limit(60).collect()
+    texts, langs = [r.text for r in rows], [r.lang for r in rows]
+    marks, ridge = list(range(0, 60, 4)), 1e-3
+    model = language_id.fit(texts, langs, marks, ridge)
+    table = language_id.letter_table([texts[i] for i in marks])
+    own = [naive_grams(texts[i], table) for i in marks]
+    known = set().union(*own)  # n-grams that no landmark has don't count
+    kernel = lambda a, b: len(a & b) / math.sqrt(max(len(a & known), 1) * max(len(b), 1))
+    c = np.array([[kernel(naive_grams(t, table), m) for m in own] for t in texts])
+    w = c[marks]
+    assert np.allclose(model.kernel(model.presence(texts)), c, atol=1e-5)
+    # Nystrom features and ridge regression in their dual form.
+    square, axes = np.linalg.eigh(w)
+    good = square > 1e-6 * square.max()
+    phi = c @ axes[:, good] / np.sqrt(square[good])
+    y = np.array([[1.0 if x == l else -1.0 for l in model.languages] for x in langs])
+    naive = phi @ phi.T @ np.linalg.solve(phi @ phi.T + ridge * len(texts) * np.eye(len(texts)), y)
+    assert np.allclose(model.scores(texts), naive, atol=5e-3)
+
+
+def test_risk_and_prior():
+    rng = np.random.default_rng(8)
+    draw = lambda n, share: np.where(rng.random((n, 1)) < share, rng.normal(1.5, 1, (n, 3)), rng.normal(-1.5, 1, (n, 3)))
+    for share in (0.3, 0.8):
+        pos, unl = rng.normal(1.5, 1, (3000, 3)), draw(3000, share)
+        prior = quality_pu.estimate_prior(pos, unl)
+        assert abs(prior - share) < 0.08
+        w = quality_pu.fit_pu(pos, unl, prior)
+        assert ((quality_pu.with_bias(rng.normal(1.5, 1, (500, 3))) @ w > 0).mean() + (quality_pu.with_bias(rng.normal(-1.5, 1, (500, 3))) @ w < 0).mean()) / 2 > 0.97
+
+    def risk(w, p, u, prior):
+        loss = lambda z, y: 1 / (1 + math.exp(y * z))
+        plus = sum(loss(x @ w, 1) for x in p) / len(p)
+        minus = sum(loss(x @ w, -1) for x in u) / len(u) - prior * sum(loss(x @ w, -1) for x in p) / len(p)
+        return prior * plus + minus if minus >= 0 else -minus
+
+    for prior in (0.2, 0.95):
+        p, u, w = rng.normal(1, 1, (7, 4)), rng.normal(0, 1, (9, 4)), rng.normal(0, 0.3, 4)
+        slope = [(risk(w + e, p, u, prior) - risk(w - e, p, u, prior)) / 2e-6 for e in 1e-6 * np.eye(4)]
+        assert np.allclose(quality_pu.pu_gradient(w, p, u, prior), slope, atol=1e-6)
+
+
+def test_repeated_ids_stay_bounded(spark):
+    texts = ["the same words again and again", "die gleichen Worte", "les mots"]
+    rows = [(7 if i % 3 else None, texts[i % 2] if i < 250 else texts[2], ["en", "de"][i % 2] if i < 250 else "fr") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language_id.train(df, F.lit(True), per_language=10)
+    assert model.languages == ["de", "en", "fr"] and len(model.landmarks) <= 30
+    assert {(r.text, r.lang_pred) for r in language_id.predict(df, model, keep=("text",)).distinct().collect()} == set(zip(texts, ["en", "de", "fr"]))
+    labels = spark.createDataFrame([(7, 1, 0), (7, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality_pu.train(df, labels, F.lit(True), max_rows=20)
+    assert quality_pu.score(df, model).where("score between 0 and 1").count() == 300
+
+
 def test_edge_rows_and_empty_tables(spark):
     rows = [(1, None, None, "s", None, "x", "y"), (2, "", "en", None, 0, "x", "y"), (None, "12 34 !", "en", "s", 7, "x", "y"), (4, "abc " * 9000, "en", "s", 1, "x", "y"), (4, "abc", "de", "s", 1, "x", "y")]
     df = spark.createDataFrame(rows, COLUMNS)
