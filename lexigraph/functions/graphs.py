@@ -34,9 +34,12 @@ class Graph:
         self.nodes: dict[tuple[str, int], dict] = {}
         self.edges: dict[tuple[tuple[str, int], tuple[str, int]], tuple[str, str]] = {}
         self.suspect = False
+        self._made: dict[str, int] = {}
+        self._out: tuple[dict, int, dict] | None = None
 
     def add(self, kind: str, token: str, **more) -> tuple[str, int]:
-        node = (kind, sum(k == kind for k, _ in self.nodes))
+        node = (kind, self._made.get(kind, 0))
+        self._made[kind] = node[1] + 1
         self.nodes[node] = {"token": token, **more}
         return node
 
@@ -44,9 +47,15 @@ class Graph:
         for end in (a, b):
             self.nodes.setdefault(end, {})
         self.edges[a, b] = (kind, token)
+        self._out = None
 
     def children(self, node):
-        return [(b, *e) for (a, b), e in self.edges.items() if a == node]
+        if self._out is None or self._out[0] is not self.edges or self._out[1] != len(self.edges):
+            below: dict = {}
+            for (a, b), e in self.edges.items():
+                below.setdefault(a, []).append((b, *e))
+            self._out = (self.edges, len(self.edges), below)
+        return self._out[2].get(node, [])
 
     def without(self, gone: set) -> Graph:
         out = Graph()
@@ -87,6 +96,13 @@ def lines_of(text: str, single: bool = True) -> list[tuple[list[str], str | None
     return [x for x in out if x[0]]
 
 
+def box_step(index: str) -> int:
+    try:
+        return int(index.replace("<", "-").replace(">", "+"))
+    except ValueError:
+        raise NotationError(f"{index} isn't an index") from None
+
+
 def parse(text: str, single: bool = True) -> Graph:
     lines = lines_of(text or "", single)
     if not lines:
@@ -109,7 +125,7 @@ def parse(text: str, single: bool = True) -> Graph:
                     raise NotationError(f"{tok} has no index")
                 index = queue.pop()
                 if INDEX.match(index):
-                    step = int(index.replace("<", "-").replace(">", "+"))
+                    step = box_step(index)
                     parent = ("box", box[1] + step + 1)
                     new = g.add("box", "box", comment=comment)
                     if step:
@@ -123,7 +139,7 @@ def parse(text: str, single: bool = True) -> Graph:
                     raise NotationError(f"{tok} before any synset")
                 index = INDEX.match(target)
                 if index and tok in ROLES and target[0] in "<>":
-                    links.append((synset, ("box", box[1] + int(target.replace("<", "-").replace(">", "+"))), "syn-box-connect", tok))
+                    links.append((synset, ("box", box[1] + box_step(target)), "syn-box-connect", tok))
                 elif index:
                     if target[0] in "<>":
                         raise NotationError(f"{tok} can't point to a box")
@@ -247,14 +263,15 @@ def closure(g: Graph, box) -> set:
 
 
 def upright(g: Graph) -> Graph:
-    """Invertible roles between two non-constants are turned round and lose their Of."""
+    """Invertible role edges between two non-constants are turned round and lose their Of; they replace edges that stand there."""
     out = Graph()
     out.nodes, out.suspect = dict(g.nodes), g.suspect
+    turned = {k: e for k, e in g.edges.items() if e[0] == "role" and e[1] in INVERTIBLE and "constant" not in (k[0][0], k[1][0])}
     for (a, b), (kind, token) in g.edges.items():
-        if token in INVERTIBLE and "constant" not in (a[0], b[0]):
-            out.link(b, a, kind, token[:-2])
-        else:
+        if (a, b) not in turned:
             out.link(a, b, kind, token)
+    for (a, b), (kind, token) in turned.items():
+        out.link(b, a, kind, token[:-2])
     return out
 
 

@@ -21,4 +21,31 @@ INDEX = r"((-|\+|<|>)\d)"
 NAME = r"\"(.+)\"|\"(.+)"
 BE_FORMS = "be am is are being was were".split()
 STATUSES = "success ill_formed parse_error gold_error smatch_error".split()
+MODAL_LEMMAS = "can could may might must shall should will would ought".split()
+NOMINAL_DEPENDENCIES = "nsubj nsubjpass dobj pobj obj attr appos compound poss".split()
+MASKS = {
+    "role": (r":([A-Z][a-z]*)", ":role"),
+    "relation": (r":([A-Z]{4,12}) ", ":relation "),
+    "operator": (r":([A-Z]\{3\}) ", ":operator "),
+    "sense": (r"(.+)\.(n|v|a|r)\.\d+", "$1"),
+}
+BE_NODE = r"\bbe\.[a-z]\.[0-9]+\b"
+BE_VERBS = "(?:be|am|is|are|being|was|were)"
+ADJECTIVE = r"\b[a-z_]+\.a\.[0-9]+\b"
+ADVERB = r"\b[a-z_]+\.r\.[0-9]+\b"
+VERB = r"\b([a-z_]+\.v\.[0-9]+)\b"
+ROLE_WORD = r"\bRole\b"
+COMPARATIVE = r"\b(?:more|less|as)\.r\.[0-9]+\b"
+EXISTENTIAL = r"(?i)\bthere\s+(?:is|are|was|were|'s|'re)\b"
+WH_LOCATIVE = r"(?i)\bwhere\s+(?:is|are|was|were)\b"
+PROGRESSIVE = rf"(?i)\b{BE_VERBS}\b\s+(?:\w+\s+)?\w+ing\b"
+PASSIVE_BY = rf"(?i)\b{BE_VERBS}\b\s+\w+(?:ed|en)\b.*\bby\b"
+CONSTRUCTIONS = {
+    "auxiliary": "auxiliary (lexical verb present)",
+    "comparative": "adjectival — comparative",
+    "equative": "nominal / equative (predicate noun)",
+    "adjective": "adjectival — predicate adjective",
+    "adverb": "adverbial — predicate adverb",
+    "other": "locative / existential / measure (no other predicate)",
+}
 # End of the fixed values.

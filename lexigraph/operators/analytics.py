@@ -15,6 +15,14 @@ def summary(df: DataFrame, by: str, status: str, f1: str, statuses: list[str]) -
     )
 
 
+def summary_as_seen(df: DataFrame, by: str, status: str, f1: str, order: str) -> DataFrame:
+    """place, n, success_pct, mean_f1 and median_f1 of each condition, placed from 1 as first seen in `order`; one row `<all>` if df has no column `by`."""
+    known = df if by in df.columns else df.withColumn(by, F.lit("<all>"))
+    first = known.groupBy(by).agg(F.min(order).alias("_first"))
+    placed = first.withColumn("place", F.row_number().over(Window.orderBy("_first"))).drop("_first")  # a row for each condition
+    return summary(known, by, status, f1, []).select(by, "n", "success_pct", "mean_f1", "median_f1").join(placed, by)
+
+
 def scopes(df: DataFrame, by: str, status: str, f1: str, ignored: str = "gold_error") -> DataFrame:
     """Mean F1 of successes (a), with failures as 0 but `ignored` left out (b), with all else as 0 (c)."""
     ok = F.col(status) == "success"
@@ -26,10 +34,11 @@ def failure_shares(df: DataFrame, by: str, status: str, left_out: list[str]) ->
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(by)))
 
 
-def delta_to(df: DataFrame, item: str, by: str, value: str, base: str) -> DataFrame:
-    """Mean paired difference of each condition to the base, over items that have both."""
+def delta_to(df: DataFrame, item: str, by: str, value: str, base: str | DataFrame) -> DataFrame:
+    """Mean paired difference of each condition to the base, over items that have both. The base is a name, or a table of one row (base)."""
     mean = df.groupBy(item, by).agg(F.avg(value).alias("v"))
-    own = mean.where(F.col(by) == base).select(item, F.col("v").alias("base"))
+    own = mean.where(F.col(by) == base) if isinstance(base, str) else mean.join(F.broadcast(base), F.col(by) == F.col("base"), "left_semi")
+    own = own.select(item, F.col("v").alias("base"))
     return mean.join(own, item).groupBy(by).agg(F.avg(F.col("v") - F.col("base")).alias("mean_delta"), F.count("*").alias("n_pairs"))
 
 

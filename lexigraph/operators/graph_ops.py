@@ -70,12 +70,12 @@ def triple_rows(penmans: DataFrame, id_col: str = "id", text_col: str = "penman"
 
 
 def upright_edges(e: DataFrame) -> DataFrame:
-    """Inverse roles between non-constants turned round; parallel edges collapse to the last one."""
-    turn = F.col("token").isin(vocab.INVERTIBLE_ROLES) & (F.col("src_type") != "constant") & (F.col("dst_type") != "constant")
+    """Inverse role edges between non-constants turned round; parallel edges collapse to the last one, turned ones count as later than others."""
+    turn = (F.col("edge_type") == "role") & F.col("token").isin(vocab.INVERTIBLE_ROLES) & (F.col("src_type") != "constant") & (F.col("dst_type") != "constant")
     pick = lambda a, b: F.when(turn, F.col(b)).otherwise(F.col(a)).alias(a)
-    out = e.select("doc_id", pick("src_type", "dst_type"), pick("src_idx", "dst_idx"), pick("dst_type", "src_type"), pick("dst_idx", "src_idx"), "edge_type", F.when(turn, F.expr("substring(token, 1, length(token) - 2)")).otherwise(F.col("token")).alias("token"), "ord")
+    out = e.select("doc_id", pick("src_type", "dst_type"), pick("src_idx", "dst_idx"), pick("dst_type", "src_type"), pick("dst_idx", "src_idx"), "edge_type", F.when(turn, F.expr("substring(token, 1, length(token) - 2)")).otherwise(F.col("token")).alias("token"), "ord", turn.alias("turned"))
     key = ["doc_id", "src_type", "src_idx", "dst_type", "dst_idx"]
-    return out.groupBy(*key).agg(F.max_by(F.struct("edge_type", "token"), "ord").alias("last"), F.min("ord").alias("ord")).select(*key, "last.edge_type", "last.token", "ord")
+    return out.groupBy(*key).agg(F.max_by(F.struct("edge_type", "token"), F.struct("turned", "ord")).alias("last"), F.min("ord").alias("ord")).select(*key, "last.edge_type", "last.token", "ord")
 
 
 def orphan_constants(n: DataFrame, e: DataFrame) -> DataFrame:
@@ -90,9 +90,13 @@ def repair_pairs(e: DataFrame) -> DataFrame:
     return side("CORRECTION", "correction").join(side("CONJUNCTION", "conjunction"), ["doc_id", "parent"])
 
 
-def score_frame(pred: DataFrame, gold: DataFrame, key: str = "id", pred_col: str = "pred_sbn", gold_col: str = "sbn", solver: str = "exact") -> DataFrame:
-    """pred with status and f1. Each distinct gold text is parsed once; gold errors come before those of predictions."""
-    golds = statuses(gold.groupBy(key).agg(F.max(gold_col).alias("g")), key, "g").select(key, F.col("status").alias("gold_status"), F.col("penman").alias("gold_penman"))
+def score_frame(pred: DataFrame, gold: DataFrame, key: str = "id", pred_col: str = "pred_sbn", gold_col: str = "sbn", solver: str = "exact", order: str | None = None) -> DataFrame:
+    """pred with status and f1. Each distinct gold text is parsed once; gold errors come before those of predictions.
+
+    Of several gold rows of a key the last one in `order` counts; without an order, the greatest text.
+    """
+    last = F.max_by(gold_col, order) if order else F.max(gold_col)
+    golds = statuses(gold.groupBy(key).agg(last.alias("g")), key, "g").select(key, F.col("status").alias("gold_status"), F.col("penman").alias("gold_penman"))
     numbered = pred.withColumn(key, F.col(key).cast("string"))
     parsed = statuses(pred.select(F.col(pred_col).alias("t")).distinct(), "t", "t").select(F.col("t").alias(pred_col), F.col("status").alias("pred_status"), F.col("penman").alias("pred_penman"))
     both = numbered.join(golds, key, "left").join(parsed, pred_col, "left")
@@ -115,3 +119,27 @@ def score_frame(pred: DataFrame, gold: DataFrame, key: str = "id", pred_col: str
 def numbered_values(triples: DataFrame) -> DataFrame:
     """Adds the ordinal of each repeated triple value, for multiset comparison."""
     return triples.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "kind", "rel", "b").orderBy("a")))
+
+
+def aligned(pairs: DataFrame, left: str = "a", right: str = "b", solver: str = "exact") -> DataFrame:
+    """pairs of Penman texts with matched, n_pred, n_gold and the printed alignment; sums of the counts give corpus scores (analytics.with_f)."""
+    named = pairs.withColumn("_pair", F.to_json(F.struct(F.col(left).alias("a"), F.col(right).alias("b"))))
+
+    def rows(pair, _):
+        x = json.loads(pair)
+        matched, n, m, shown = alignment.compared(alignment.triples(x["a"]), alignment.triples(x["b"]), solver)
+        return [(pair, matched, n, m, shown)]
+
+    found = _flat(named.select("_pair").distinct(), "_pair string, matched int, n_pred int, n_gold int, alignment string", rows, "_pair", "_pair")
+    return named.join(found, "_pair").drop("_pair")
+
+
+def aligned_lists(pairs: DataFrame, solver: str = "exact") -> DataFrame:
+    """Rows (key, matched, n_pred, n_gold) of rows (key, pred, gold): both sides are structs of arrays `triples` (rel, a, b) and `concepts` (var, concept)."""
+
+    def rows(key, both):
+        x = json.loads(both)
+        sides = [alignment.listed([(t["rel"], t["a"], t["b"]) for t in s.get("triples", ())], {c["var"]: c["concept"] for c in s.get("concepts", ())}) for s in (x["pred"], x["gold"])]
+        return [(key, *alignment.compared(*sides, solver)[:3])]
+
+    return _flat(pairs.select("key", F.to_json(F.struct("pred", "gold")).alias("both")), "key string, matched int, n_pred int, n_gold int", rows, "key", "both")

@@ -67,3 +67,18 @@ def not_done(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 def coalesce_source(own: DataFrame, main: DataFrame, key: str, value: str, special: Column) -> DataFrame:
     """own with `value` from main by key, unless the row is special or main lacks it."""
     return own.join(main.select(key, F.col(value).alias("_main")), key, "left").withColumn(value, F.when(special | F.col("_main").isNull(), F.col(value)).otherwise(F.col("_main"))).drop("_main")
+
+
+def renamed(df: DataFrame, names: dict[str, str], dropped: tuple[str, ...] = ()) -> DataFrame:
+    """Columns renamed and dropped; what isn't there is passed over."""
+    return df.withColumnsRenamed({a: b for a, b in names.items() if a in df.columns}).drop(*(c for c in dropped if c in df.columns))
+
+
+def blank_nulls(df: DataFrame) -> DataFrame:
+    """Nulls of string columns become empty strings."""
+    return df.na.fill("")
+
+
+def present(df: DataFrame, columns: list[str]) -> list[str]:
+    """Those of the columns that df has, in their order; callers pass over the others."""
+    return [c for c in columns if c in df.columns]

@@ -258,8 +258,8 @@ def _update(t):
 
 @on_tables("j07_paired_delta", SCORED + ", m AS (SELECT user_id, condition, avg(f1) AS v FROM scored GROUP BY ALL) SELECT m.condition, round(avg(m.v - b.v), 6) AS mean_delta, CAST(count(*) AS BIGINT) AS n_pairs FROM m JOIN m b ON m.user_id = b.user_id AND b.condition = (SELECT min(event_type) FROM events) GROUP BY m.condition")
 def _delta(t):
-    base = t.events.agg(F.min("event_type")).first()[0]
-    return A.delta_to(scored(t), "user_id", "condition", "f1", base).withColumn("mean_delta", r6("mean_delta"))
+    first = t.events.agg(F.min("event_type").alias("base"))  # one row
+    return A.delta_to(scored(t), "user_id", "condition", "f1", first).withColumn("mean_delta", r6("mean_delta"))
 
 
 NAME_GROUPS = "WITH p AS (SELECT c_custkey, c_name, CAST(floor((row_number() OVER (ORDER BY length(c_name), c_custkey) - 1) / 10) AS BIGINT) AS grp FROM customer), d AS (SELECT a.grp, a.c_custkey, a.c_name, coalesce(sum(levenshtein(a.c_name, b.c_name)), 0) AS dist FROM p a LEFT JOIN p b ON a.grp = b.grp AND a.c_custkey <> b.c_custkey GROUP BY ALL) "
@@ -619,13 +619,13 @@ def _triples(t):
     return G.triple_rows(G.statuses(notation(t))).groupBy("doc_id").agg(*(F.count_if(F.col("kind") == k).alias(n) for n, k in kinds.items()))
 
 
-@on_tables("g20_frame_scores")
+@on_tables("g20_frame_scores", EDGE_COUNTS + "SELECT CAST(id AS VARCHAR) AS id, 'success' AS status, round(2.0 * (4 * n + 3) / (8 * n + 7), 6) AS f1, 'exact' AS solver FROM e")
 def _scores(t):
     from ..operators import graph_ops as G
 
     gold = notation(t)
     pred = gold.select("id", F.regexp_replace("sbn", " Quantity [0-9]+$", "").alias("pred_sbn"))
-    return G.score_frame(pred, gold, solver="climb").select("id", "status", "f1", "solver")
+    return G.score_frame(pred, gold).select("id", "status", r6("f1").alias("f1"), "solver")
 
 
 @on_tables("g11_repair_projection", "SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, 'order.n.01' AS kept FROM orders")
@@ -644,3 +644,239 @@ def _pairs(t):
 
     text = F.lit("be.v.01 CORRECTION <1 draft.n.01 CONJUNCTION <2 order.n.01")
     return G.repair_pairs(G.edges(t.orders.select(F.col("o_orderkey").alias("id"), text.alias("sbn"))))
+
+
+# Sentences and notation of a few kinds, dealt out over the orders
+
+def dealt(t: Tables, names: tuple[str, ...], kinds: list[tuple]) -> DataFrame:
+    """(id, names): the kind of order k is number k % len(kinds)."""
+    whole = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, kind))) for kind in kinds))
+    at = F.element_at(whole, (F.col("o_orderkey") % len(kinds) + 1).cast("int"))
+    return t.orders.select(F.col("o_orderkey").alias("id"), at.alias("_k")).select("id", "_k.*")
+
+
+def dealt_sql(columns: str, rows: list[tuple], kinds: int) -> str:
+    """SQL of rows (kind, values) for each order of that kind."""
+    text = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    values = ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
+    return f"SELECT o_orderkey AS id, {columns} FROM orders JOIN (VALUES {values}) v(kind, {columns}) ON o_orderkey % {kinds} = kind"
+
+
+BE_KINDS = [
+    ("be.v.01 Theme -1 male.n.02", "There is a man."), ("old.a.01 AttributeOf -1 more.r.01", "Where was Tom running by?"), ("write.v.01 Agent Role Co-Theme +1", "It was written by me"),
+    ("Co-Theme +1 x.n.01", "plain"), ("red.a.01", "so it is"), ("here.r.01 AttributeOf -1", "maybe.v.01"),
+]
+
+
+@on_tables("f04_be_token", dealt_sql("has", [(i, i == 0) for i in range(6)], 6))
+def _be_token(t):
+    return dealt(t, ("sbn", "sentence"), BE_KINDS).select("id", X.has_be_node(F.col("sbn")).alias("has"))
+
+
+def be_features(t: Tables) -> tuple[DataFrame, dict]:
+    rows = dealt(t, ("sbn", "sentence"), BE_KINDS)
+    return rows, X.be_features(F.col("sbn"), F.col("sentence"), X.has_be_node(F.col("sbn")))
+
+
+@on_tables("c15_features", dealt_sql("features", list(enumerate(["10000001000", "01100100110", "00011010001", "00001000000", "01000000000", "00100100000"])), 6))
+def _features(t):
+    rows, found = be_features(t)
+    return rows.select("id", F.concat(*(c.cast("int").cast("string") for c in found.values())).alias("features"))
+
+
+@on_tables("c16_construction", dealt_sql("construction", list(enumerate(vocab.CONSTRUCTIONS[k] for k in ("other", "comparative", "auxiliary", "equative", "adjective", "adverb"))), 6))
+def _construction(t):
+    rows, found = be_features(t)
+    return rows.select("id", X.construction(F.col("sbn"), found).alias("construction"))
+
+
+def repaired(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey").cast("string")
+    return t.orders.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("please send "), k, F.lit(" boxes")).alias("a"), F.concat(F.lit("please send none, no "), k, F.lit(" boxes")).alias("b"))
+
+
+@on_tables("j10_token_alignment", "SELECT o_orderkey AS id, tag, i1, i2, j1, j2 FROM orders, (VALUES ('equal', 0, 2, 0, 2), ('insert', 2, 2, 2, 4), ('equal', 2, 4, 4, 6)) v(tag, i1, i2, j1, j2)")
+def _alignment(t):
+    from ..functions import repairs
+
+    return repairs.with_edits(repaired(t), "a", "b").select("id", F.explode("edits").alias("e")).select("id", "e.*")
+
+
+@on_tables("c18_interregnum", "SELECT o_orderkey AS id, 'please send none, I mean, no ' || o_orderkey || ' boxes' AS with_phrase FROM orders")
+def _interregnum(t):
+    from ..functions import repairs
+
+    return repairs.with_interregnum(repaired(t), "a", "b").select("id", "with_phrase")
+
+
+MASKED = """WITH p AS (SELECT o_orderkey AS id, '(b0 / box :member (s0 / man.n.02 :Name "x' || o_orderkey || '" :EQU 3 :Co-Agent s1) :NEGATION (b1 / go.v.01))' AS t FROM orders) """
+
+
+@on_tables("c19_masks", MASKED + r"""SELECT id, regexp_replace(t, ':([A-Z][a-z]*)', ':role', 'g') AS role, regexp_replace(t, ':([A-Z]{4,12}) ', ':relation ', 'g') AS relation,
+    regexp_replace(t, ':([A-Z]\{3\}) ', ':operator ', 'g') AS operator, regexp_replace(t, '(.+)\.(n|v|a|r)\.\d+', '\1', 'g') AS sense FROM p""".replace("\\\\", "\\"))
+def _masks(t):
+    from ..operators import fine_grained as FG
+
+    text = F.concat(F.lit('(b0 / box :member (s0 / man.n.02 :Name "x'), F.col("o_orderkey").cast("string"), F.lit('" :EQU 3 :Co-Agent s1) :NEGATION (b1 / go.v.01))'))
+    return t.orders.select(F.col("o_orderkey").alias("id"), *(FG.masked(text, k).alias(k) for k in vocab.MASKS))
+
+
+#: Tagged sentences: text, lemma, tag, pos, dep, head, ent_type.
+TAGGED = [
+    [("He", "he", "PRP", "PRON", "nsubj", 3, ""), ("can", "can", "MD", "AUX", "aux", 3, ""), ("not", "not", "RB", "PART", "neg", 3, ""), ("go", "go", "VB", "VERB", "ROOT", 3, "")],
+    [("I", "I", "PRP", "PRON", "nsubj", 3, ""), ("'d", "would", "MD", "AUX", "aux", 3, ""), ("already", "already", "RB", "ADV", "advmod", 3, ""), ("told", "tell", "VBN", "VERB", "ROOT", 3, "")],
+    [("You", "you", "PRP", "PRON", "nsubj", 3, ""), ("'D", "would", "MD", "AUX", "aux", 3, ""), ("better", "well", "RB", "ADV", "advmod", 3, ""), ("go", "go", "VB", "VERB", "ROOT", 3, "")],
+    [("May", "May", "MD", "AUX", "pobj", 1, "DATE"), ("ought", "ought", "MD", "AUX", "ROOT", 1, ""), ("to", "to", "TO", "PART", "aux", 3, ""), ("go", "go", "VB", "VERB", "xcomp", 1, "")],
+    [("The", "the", "DT", "DET", "det", 1, ""), ("can", "can", "MD", "AUX", "nsubj", 3, ""), ("will", "will", "MD", "AUX", "aux", 3, ""), ("rust", "rust", "VB", "VERB", "ROOT", 3, "")],
+    [("cannot", "can", "MD", "AUX", "aux", 1, ""), ("Would", "Would", "MD", "AUX", "aux", 3, ""), ("he", "he", "PRP", "PRON", "nsubj", 3, ""), ("really", "really", "RB", "ADV", "neg", 1, ""), ("would", "would", "MD", "AUX", "aux", 9, ""), ("quite", "quite", "RB", "ADV", "advmod", 9, ""), ("never", "never", "RB", "ADV", "advmod", 9, ""), ("might", "might", "MD", "AUX", "conj", 9, ""), ("do", "do", "VB", "VERB", "ROOT", 9, ""), ("not", "not", "RB", "PART", "x", 9, "")],
+]
+#: kind, i, text, lemma, negated, ought_to, reason
+TAGGED_MODALS = [
+    (0, 1, "can", "can", True, False, None), (1, 1, "'d", "had?", False, False, "'d+VBN/better -> had (excluded)"), (2, 1, "'D", "had?", False, False, "'d+VBN/better -> had (excluded)"),
+    (3, 0, "May", "may", False, False, "NER=DATE"), (3, 1, "ought", "ought", False, True, None), (4, 1, "can", "can", False, False, "dep=nsubj (noun homograph)"), (4, 2, "will", "will", False, False, None),
+    (5, 0, "cannot", "can", True, False, None), (5, 1, "Would", "would", True, False, None), (5, 4, "would", "would", True, False, None), (5, 7, "might", "might", False, False, None),
+]
+
+
+def tagged_tokens(t: Tables) -> DataFrame:
+    names = ("text", "lemma", "tag", "pos", "dep", "head", "ent_type")
+    kinds = [(F.array(*(F.struct(F.lit(i).alias("i"), *(F.lit(v).alias(n) for n, v in zip(names, token))) for i, token in enumerate(sentence))),) for sentence in TAGGED]
+    whole = F.array(*(k[0] for k in kinds))
+    return t.orders.select(F.col("o_orderkey").alias("id"), F.explode(F.element_at(whole, (F.col("o_orderkey") % len(TAGGED) + 1).cast("int"))).alias("w")).select("id", "w.*")
+
+
+def modal_query(name: str, ok: Callable[[tuple], bool], condition: str) -> None:
+    columns = "i, text, lemma, negated, ought_to, reason"
+
+    def run(t):
+        from ..operators.modals import modals
+
+        return modals(tagged_tokens(t)).where(condition)
+
+    on_tables(name, dealt_sql(columns, [r for r in TAGGED_MODALS if ok(r)], len(TAGGED)))(run)
+
+
+modal_query("f05_modals", lambda r: True, "true")
+modal_query("f06_had", lambda r: r[3] == "had?", "lemma = 'had?'")
+modal_query("f07_negated_modals", lambda r: r[4] and not r[6], "negated AND reason IS NULL")
+
+
+MIXED = ['a.n.01 Name "x y" NEGATION <1 b.v.01 Agent -1', "a.n.01 EQU 3 b.n.01 PartOf >0", "a.n.01 NEGATION <1x b.n.01", "a.n.01 Theme >1x", "a.n.01 b.n.01 PartOf -1 c.n.01 ThemeOf -1"]
+MIXED_EDGES = [
+    (0, "box-connect", "member", 2), (0, "role", "Name", 1), (0, "box-box-connect", "NEGATION", 1), (0, "role", "Agent", 1), (1, "box-connect", "member", 2), (1, "role", "EQU", 1), (1, "syn-box-connect", "PartOf", 1),
+    (4, "box-connect", "member", 3), (4, "role", "Part", 1), (4, "role", "Theme", 1),
+]
+
+
+@on_tables("g13_mixed_edges", dealt_sql("edge_type, token, n", MIXED_EDGES, 5))
+def _mixed(t):
+    from ..operators import graph_ops as G
+
+    e = G.upright_edges(G.edges(dealt(t, ("sbn",), [(m,) for m in MIXED])))
+    return e.groupBy(F.col("doc_id").cast("long").alias("id"), "edge_type", "token").agg(F.count("*").cast("int").alias("n"))
+
+
+@on_tables("g02_mixed_statuses", dealt_sql("status", list(enumerate(["success", "parse_error", "parse_error", "parse_error", "success"])), 5))
+def _mixed_statuses(t):
+    from ..operators import graph_ops as G
+
+    return G.statuses(dealt(t, ("sbn",), [(m,) for m in MIXED])).select(F.col("id").cast("long").alias("id"), "status")
+
+
+# Families of triples
+
+def triples_of(t: Tables) -> DataFrame:
+    from ..operators import graph_ops as G
+
+    return G.triple_rows(G.statuses(notation(t)))
+
+
+@on_tables("g23_uninverted", EDGE_COUNTS + ", r AS (SELECT id, unnest(['TOP', 'member', 'Part', 'Quantity']) AS rel, unnest([1, n + 1, n, n]) AS n FROM e) SELECT CAST(id AS VARCHAR) AS doc_id, rel, CAST(n AS BIGINT) AS n FROM r")
+def _uninverted(t):
+    from ..operators import fine_grained as FG
+
+    return FG.uninverted(triples_of(t)).groupBy("doc_id", "rel").agg(F.count("*").alias("n"))
+
+
+@on_tables("g22_node_families", EDGE_COUNTS + ", r AS (SELECT id, unnest(['Concepts', 'Con_noun', 'Members', 'Roles']) AS family, unnest([n + 1, n + 1, n + 1, 2 * n]) AS n FROM e) SELECT CAST(id AS VARCHAR) AS doc_id, family, CAST(n AS BIGINT) AS n FROM r")
+def _node_families(t):
+    from ..operators import fine_grained as FG
+
+    return FG.node_families(triples_of(t)).groupBy("doc_id", "family").agg(F.count("*").alias("n"))
+
+
+@on_tables("g21_triple_families", EDGE_COUNTS + ", r AS (SELECT id, unnest(['c2c', 'b2c']) AS family, unnest(['Part', 'member']) AS rel, unnest([n, n + 1]) AS n FROM e) SELECT CAST(id AS VARCHAR) AS doc_id, family, rel, CAST(n AS BIGINT) AS n FROM r")
+def _triple_families(t):
+    from ..operators import fine_grained as FG
+
+    return FG.triple_families(triples_of(t)).groupBy("doc_id", "family", "rel").agg(F.count("*").alias("n"))
+
+
+@on_tables("g18_list_scores", EDGE_COUNTS + "SELECT CAST(id AS VARCHAR) AS doc_id, CAST(2 * n + 4 AS INTEGER) AS matched, CAST(2 * n + 4 AS INTEGER) AS n_pred, CAST(2 * n + 4 AS INTEGER) AS n_gold FROM e")
+def _list_scores(t):
+    from ..operators import fine_grained as FG
+    from ..operators import graph_ops as G
+
+    sides = FG.family_lists(triples_of(t)).where("family = 'b2c'")
+    return G.aligned_lists(sides.select(F.col("doc_id").alias("key"), F.col("side").alias("pred"), F.col("side").alias("gold"))).withColumnRenamed("key", "doc_id")
+
+
+@on_tables("g17_corpus_score", EDGE_COUNTS + "SELECT CAST(sum(4 * n + 3) AS BIGINT) AS matched, CAST(sum(4 * n + 3) AS BIGINT) AS n_pred, CAST(sum(4 * n + 4) AS BIGINT) AS n_gold, round(2.0 * sum(4 * n + 3) / sum(8 * n + 7), 6) AS f FROM e")
+def _corpus_score(t):
+    from ..operators import graph_ops as G
+
+    gold = notation(t)
+    text = lambda d, n: G.statuses(d).select("id", F.col("penman").alias(n))
+    pairs = text(gold.withColumn("sbn", F.regexp_replace("sbn", " Quantity [0-9]+$", "")), "a").join(text(gold, "b"), "id").select("a", "b")
+    sums = G.aligned(pairs).agg(*(F.sum(c).alias(c) for c in ("matched", "n_pred", "n_gold")))
+    return A.with_f(sums).select("matched", "n_pred", "n_gold", r6("f").alias("f"))
+
+
+@on_tables("g25_unknown_roles", "SELECT CAST(l_orderkey AS VARCHAR) AS id, role FROM (SELECT DISTINCT l_orderkey FROM lineitem), (VALUES ('Foo-of'), ('theme')) v(role)")
+def _unknown_roles(t):
+    from ..operators import fine_grained as FG
+    from ..operators import graph_ops as G
+
+    p = G.statuses(notation(t)).withColumn("penman", F.concat("penman", F.lit(' :Foo-of 1 :Theme-of 2 :theme ":no role"')))
+    return FG.unknown_roles(p)
+
+
+# Small record operators
+
+@on_tables("a02_summary_as_seen", SCORED + "SELECT condition, CAST(count(*) AS BIGINT) AS n, round(count(*) FILTER (WHERE status = 'success') * 100.0 / count(*), 6) AS success_pct, round(avg(f1), 6) AS mean_f1, round(median(f1), 6) AS median_f1, CAST(row_number() OVER (ORDER BY min(id)) AS INTEGER) AS place FROM scored GROUP BY condition")
+def _summary_as_seen(t):
+    out = A.summary_as_seen(scored(t), "condition", "status", "f1", "id")
+    return out.withColumns({c: r6(c) for c in ("success_pct", "mean_f1", "median_f1")})
+
+
+@on_tables("p01_rename_drop", "SELECT n_nationkey AS id, n_name AS name FROM nation")
+def _rename(t):
+    return R.renamed(t.nation, {"n_nationkey": "id", "n_name": "name", "absent": "x"}, ("n_regionkey", "absent_too"))
+
+
+@on_tables("p02_final_columns", "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders")
+def _final(t):
+    return t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
+@on_tables("p08_blank_nulls", "SELECT d.doc_id, coalesce(CASE WHEN l.quality = 1 THEN d.lang END, '') AS lang, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def _blank(t):
+    both = t.documents.select("doc_id", "lang").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    return R.blank_nulls(both.withColumn("lang", F.when(F.col("quality") == 1, F.col("lang"))))
+
+
+@on_tables("j11_present_columns", "SELECT c_mktsegment, round(sum(c_acctbal), 2) AS c_acctbal FROM customer GROUP BY c_mktsegment")
+def _present(t):
+    return t.customer.groupBy("c_mktsegment").agg(*(F.round(F.sum(c), 2).alias(c) for c in R.present(t.customer, ["c_acctbal", "c_absent"])))
+
+
+@on_tables("s09_chosen_ids", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def _chosen(t):
+    return SRC.chosen(t.documents.select("doc_id", "lang"), t.labels, "doc_id")
+
+
+@on_tables("s20_graph_lines", "SELECT o_orderkey AS id, chunk_idx, text FROM (SELECT o_orderkey, 0 AS chunk_idx, '(a / b:x ' || o_orderkey || ')' AS text FROM orders UNION ALL SELECT o_orderkey, 2, '(c / d)' FROM orders)")
+def _graph_lines(t):
+    k = F.col("o_orderkey").cast("string")
+    files = t.orders.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("# ::id "), k, F.lit("\n(a / b\n   :x "), k, F.lit(")\n\n# note\n\n(c / d)\n")).alias("value"))
+    return SRC.graph_lines(files)

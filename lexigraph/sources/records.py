@@ -85,4 +85,21 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 def numbered_lines(spark: SparkSession, path: str, last_field: bool = False) -> DataFrame:
     """(line_no, text) of one file, in file order; optionally each line's last tab field."""
     text = F.element_at(F.split("_line", "\t"), -1) if last_field else F.col("_line")
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("line_no", "_line")).select("line_no", text.alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("line_no", "_line")).select("line_no", text.alias("text"))
+
+
+def chosen(documents: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """Documents whose id is in a list."""
+    return documents.join(ids.select(key), key, "left_semi")
+
+
+def graph_lines(files: DataFrame) -> DataFrame:
+    """(file columns, chunk_idx, text): blank-line separated graphs on one line each; lines that start with # go, chunks of nothing else too."""
+    parts = chunks(files)
+    kept = F.filter("lines", lambda x: ~x.startswith("#"))
+    return parts.withColumn("text", F.array_join(kept, "")).where(F.size(kept) > 0).drop("lines", "_chunk")
+
+
+def notation_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, sbn): one text of notation a file."""
+    return read_files(spark, path).select("file", F.trim("value").alias("sbn"))
