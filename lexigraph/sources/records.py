@@ -85,7 +85,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 def numbered_lines(spark: SparkSession, path: str, last_field: bool = False) -> DataFrame:
     """(line_no, text) of one file, in file order; optionally each line's last tab field."""
     text = F.element_at(F.split("_line", "\t"), -1) if last_field else F.col("_line")
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("line_no", "_line")).select("line_no", text.alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), "\r?\n")).alias("line_no", "_line")).select("line_no", text.alias("text"))
 
 
 def chosen(documents: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
