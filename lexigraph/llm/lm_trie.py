@@ -1,18 +1,18 @@
 r"""Language-model scoring with an Elias-Fano n-gram trie.
 
 Training counts every n-gram of the training texts (A-Z lower-cased words [^\x20\x09-\x0D]+ and an end
-token that also opens each text). Level 1 holds all words, by a 63-bit hash in ascending order; a word's
+token that also opens each text). Level 1 holds all words, by a 63-bit hash in ascending order, Elias-Fano coded; a word's
 rank there is its number. Level n > 1 holds the n-grams seen at least `min_count` times, as
-(parent node of level n - 1, word). A level is a few shards of whole contexts; each is a file that
+(parent node of level n - 1, word). A level is a few shards, ranges of such pairs; each is a file that
 workers map into memory:
 
-* contexts: parents that have successors, Elias-Fano coded;
-* pointers: where each context's successors begin, a monotone sequence, Elias-Fano coded;
-* successors: word numbers made monotone by adding the context's ordinal times the vocabulary, Elias-Fano coded;
-* smoothed probabilities: log10 of (count - discount) / count of context, and of the context's remaining weight,
+* pointers: where each parent's successors begin, a monotone sequence, Elias-Fano coded;
+* successors: word numbers side by side in as many bits as the vocabulary asks for, ascending within a parent;
+* smoothed probabilities: log10 of (count - discount) / count of context, and of each context's remaining weight,
   quantised to 16 bits.
 
-A query finds its context, then searches the successor within the context's range. Probabilities are
+A query reads its context's pointer and the next one and searches the successor within that range. Counts serve building only and
+lie in files of their own. Probabilities are
 interpolated: p(w | c) = kept share + weight(c) * p(w | shorter c), down to (c + 1) / (N + V + 1) for words.
 
 Counting is combined per task with numpy and shuffled as packed blobs dealt by a hash of the n-gram, so no
@@ -97,44 +97,56 @@ def map_arrays(uri: str) -> dict[str, np.ndarray]:
 # Elias-Fano sequences
 
 GROUP = 64
-#: Place of the k-th zero bit in each byte.
+#: Place of the k-th one bit, and of the k-th zero bit, in each byte.
+ONE_AT = np.array([[next((b for b in range(8) if v >> b & 1 and bin(v & ((1 << (b + 1)) - 1)).count("1") == k + 1), 8) for k in range(8)] for v in range(256)], np.uint8)
 ZERO_AT = np.array([[next((b for b in range(8) if not v >> b & 1 and bin(~v & ((1 << (b + 1)) - 1)).count("1") == k + 1), 8) for k in range(8)] for v in range(256)], np.uint8)
 
 
+def pack(values: np.ndarray, bits: int) -> np.ndarray:
+    """Values below 2^bits side by side in 64-bit words."""
+    out = np.zeros((len(values) * bits >> 6) + 2, np.uint64)
+    if bits and len(values):
+        v = values.astype(np.uint64)
+        bit = np.arange(len(v), dtype=np.uint64) * np.uint64(bits)
+        word, off = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        out[word[first]] = np.bitwise_or.reduceat(v << off, first)
+        over = np.flatnonzero(off > 64 - bits)
+        out[word[over] + 1] |= v[over] >> (np.uint64(64) - off[over])
+    return out
+
+
+def packed_at(words: np.ndarray, bits: int, i: np.ndarray) -> np.ndarray:
+    if not bits:
+        return np.zeros(len(i), np.uint64)
+    bit = i.astype(np.uint64) * np.uint64(bits)
+    word, off = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
+    x, y = words[word] >> off, (words[word + 1] << (np.uint64(63) - off)) << np.uint64(1)
+    return (x | y) & np.uint64((1 << bits) - 1)
+
+
 def ef_build(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
     """Arrays of a non-decreasing sequence of non-negative integers: low bits packed, high bits in unary with a directory of bucket groups."""
     v, n = values.astype(np.uint64), len(values)
     top = int(v[-1]) if n else 0
     low_bits = max(0, ((top + 1) // max(n, 1)).bit_length() - 1)
-    low = np.zeros((n * low_bits >> 6) + 2, np.uint64)
-    if low_bits:
-        part = v & np.uint64((1 << low_bits) - 1)
-        bit = np.arange(n, dtype=np.uint64) * np.uint64(low_bits)
-        word, off = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
-        np.bitwise_or.at(low, word, part << off)
-        over = off > 64 - low_bits
-        np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - off[over]))
+    low = pack(v & np.uint64((1 << low_bits) - 1), low_bits)
     high = (v >> np.uint64(low_bits)).astype(np.int64)
     buckets = (top >> low_bits) + 1
     bits = np.zeros(-(-(n + buckets + 1) // 64) * 64 + 64, np.uint8)
     bits[high + np.arange(n)] = 1
     groups = np.arange(-(-buckets // GROUP) + 1) * GROUP
-    return {f"{name}.low": low, f"{name}.high": np.packbits(bits, bitorder="little").view("<u8"), f"{name}.groups": np.searchsorted(high, groups).astype(np.int64), f"{name}.shape": np.array([n, low_bits, buckets], np.int64)}
+    every = np.arange(0, n, GROUP)
+    return {f"{name}.ones": high[every] + every, f"{name}.low": low, f"{name}.high": np.packbits(bits, bitorder="little").view("<u8"), f"{name}.groups": np.searchsorted(high, groups).astype(np.int64), f"{name}.shape": np.array([n, low_bits, buckets], np.int64)}
 
 
 class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray], name: str):
-        self.low, self.high, self.groups = (arrays[f"{name}.{k}"] for k in ("low", "high", "groups"))
+        self.low, self.high, self.groups, self.ones = (arrays[f"{name}.{k}"] for k in ("low", "high", "groups", "ones"))
         self.n, self.bits, self.buckets = (int(x) for x in arrays[f"{name}.shape"])
 
     def lows(self, i: np.ndarray) -> np.ndarray:
-        if not self.bits:
-            return np.zeros(len(i), np.uint64)
-        bit = i.astype(np.uint64) * np.uint64(self.bits)
-        word, off = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
-        x = self.low[word] >> off
-        y = np.where(off > 0, self.low[word + 1] << ((np.uint64(64) - off) & np.uint64(63)), np.uint64(0))
-        return (x | y) & np.uint64((1 << self.bits) - 1)
+        return packed_at(self.low, self.bits, i)
 
     def bucket_start(self, bucket: np.ndarray) -> np.ndarray:
         """Index of the first value whose high part is at least `bucket` (buckets in range)."""
@@ -166,14 +178,29 @@ class EliasFano:
         return after - bucket
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        """Values at positions i, by search for their group and a scan of the high bits."""
-        group = np.searchsorted(self.groups, i, "right") - 1
-        bucket, top = group * GROUP, np.minimum((group + 1) * GROUP, self.buckets) - 1
-        while (bucket < top).any():  # the last bucket that starts at or before i
-            mid = (bucket + top + 1) // 2
-            ok = self.bucket_start(mid) <= i
-            bucket, top = np.where(ok, mid, bucket), np.where(ok, top, mid - 1)
-        return (bucket.astype(np.uint64) << np.uint64(self.bits) | self.lows(i)).astype(np.int64)
+        """Values at positions i: the i-th one bit, sought from the nearest sampled one on."""
+        at = self.ones[i // GROUP]
+        left = i % GROUP  # ones still to pass
+        word = at >> 6
+        bits = self.high[word] >> (at & 63).astype(np.uint64) << (at & 63).astype(np.uint64)
+        ones = np.bitwise_count(bits).astype(np.int64)
+        go = np.flatnonzero(ones <= left)
+        while len(go):
+            left[go] -= ones[go]
+            word[go] += 1
+            bits[go] = self.high[word[go]]
+            ones[go] = np.bitwise_count(bits[go])
+            go = go[ones[go] <= left[go]]
+        pos = word << 6
+        for width in (32, 16, 8):  # halve the word until the byte with the one is left
+            k = np.bitwise_count(bits & np.uint64((1 << width) - 1)).astype(np.int64)
+            skip = k <= left
+            left -= k * skip
+            step = skip * width
+            pos += step
+            bits = bits >> step.astype(np.uint64)
+        pos += ONE_AT[(bits & np.uint64(255)).astype(np.int64), left]
+        return ((pos - i).astype(np.uint64) << np.uint64(self.bits) | self.lows(i)).astype(np.int64)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Index of each value x, or -1. Successor search by halving within the bucket of x's high part (a frequent context fills its buckets)."""
@@ -257,15 +284,24 @@ def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Mapped levels. `spec`: the vocabulary's size, N, and each level's shards (uri, first key, nodes before it)."""
+    """Mapped levels. `spec`: the vocabulary's size, N, and each level's shards (uri, first key, nodes before it) and split contexts."""
 
     _open: dict[str, Model] = {}
 
     def __init__(self, spec: dict):
         self.spec, self.total, self.words = spec, spec["total"], spec["words"]
-        self.levels = [[(map_arrays(uri), base) for uri, _, base in shards] for shards in spec["levels"]]
-        self.first = [np.array([f for _, f, _ in shards], np.int64) for shards in spec["levels"]]
-        self.sets = [[{k: EliasFano(a, k) for k in ("keys", "contexts", "pointers", "successors") if f"{k}.shape" in a} for a, _ in shards] for shards in self.levels]
+        self.levels = [[(map_arrays(uri), base) for uri, _, base in level["shards"]] for level in spec["levels"]]
+        self.first = [np.array([f for _, f, _ in level["shards"]], np.int64) for level in spec["levels"]]
+        self.sets = [[EliasFano(a, "pointers" if n else "keys") for a, _ in shards] for n, shards in enumerate(self.levels)]
+        # Weights of the contexts at the shards' borders: pairs that come before a shard's first one fall to the shard before.
+        self.border = []
+        for n, level in enumerate(spec["levels"]):
+            at = {int(a["parent"][0]): int(a["weight"][0]) for a, _ in self.levels[n]} if n else {}
+            at |= {k: int(quantise(np.array([w]))[0]) for k, w in level["split"].items()}
+            keys = np.array(sorted(at), np.int64)
+            self.border.append((keys, np.array([at[k] for k in keys.tolist()], np.uint16)))
+        self.word_bits = max(1, (self.words - 1).bit_length())
+        self._counts: dict[str, np.ndarray] = {}
 
     @classmethod
     def opened(cls, spec: dict) -> Model:
@@ -277,26 +313,31 @@ class Model:
         return cls._open[key]
 
     def _by_shard(self, level: int, key: np.ndarray):
-        which = np.searchsorted(self.first[level], key, "right") - 1
-        for s in range(len(self.levels[level])):
-            pick = np.flatnonzero(which == s)
-            if len(pick):
-                yield s, pick
+        """(shard, slice) of ascending keys."""
+        cut = np.searchsorted(key, self.first[level]).tolist() + [len(key)]
+        for s, (a, b) in enumerate(zip(cut, cut[1:])):
+            if a < b:
+                yield s, slice(a, b)
 
     def word_numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of ascending hashes; -1 for unknown words."""
         out = np.full(len(hashes), -1, np.int64)
         for s, pick in self._by_shard(0, hashes):
-            i = self.sets[0][s]["keys"].find(hashes[pick])
+            i = self.sets[0][s].find(hashes[pick])
             out[pick] = np.where(i >= 0, i + self.levels[0][s][1], -1)
         return out
 
     def counts(self, level: int, node: np.ndarray) -> np.ndarray:
+        """Training counts of nodes, from the files beside the shards."""
         out = np.zeros(len(node), np.int64)
         bases = np.array([b for _, b in self.levels[level]], np.int64)
         which = np.searchsorted(bases, node, "right") - 1
-        for s, (arrays, base) in enumerate(self.levels[level]):
+        for s, (uri, _, base) in enumerate(self.spec["levels"][level]["shards"]):
             pick = np.flatnonzero((which == s) & (node >= 0))
-            out[pick] = arrays["count"][node[pick] - base]
+            if len(pick):
+                if uri not in self._counts:
+                    self._counts[uri] = map_arrays(uri + "-counts")["count"]
+                out[pick] = self._counts[uri][node[pick] - base]
         return out
 
     def successors(self, level: int, parent: np.ndarray, word: np.ndarray):
@@ -307,20 +348,35 @@ class Model:
         pair, back = np.unique(parent[known] * (self.words + 1) + word[known] + 1, return_inverse=True)
         parent, word = pair // (self.words + 1), pair % (self.words + 1) - 1
         node, share, weight = np.full(len(pair), -1, np.int64), np.zeros(len(pair)), np.ones(len(pair))
-        for s, pick in self._by_shard(level, parent):
+        # A shard begins with a pair; the pairs before the first shard's have no successors.
+        for s, pick in self._by_shard(level, parent * self.words + np.maximum(word, 0)):
             arrays, base = self.levels[level][s]
-            sets = self.sets[level][s]
-            own = parent[pick]
-            new = np.concatenate(([True], own[1:] != own[:-1]))
-            context = sets["contexts"].find(own[new])[np.cumsum(new) - 1]
-            pick, context = pick[context >= 0], context[context >= 0]
-            weight[pick] = LEVELS[arrays["weight"][context]]
-            ok = word[pick] >= 0
-            pick, context = pick[ok], context[ok]
-            i = sets["successors"].find(context * self.words + word[pick])
-            pick, i = pick[i >= 0], i[i >= 0]
-            node[pick] = i + base
-            share[pick] = LEVELS[arrays["share"][i]]
+            pointers, packed = self.sets[level][s], arrays["words"]
+            own = parent[pick] - int(arrays["parent"][0])
+            inside = np.flatnonzero((own >= 0) & (own < pointers.n - 1))
+            own, wanted, at = own[inside], word[pick][inside], inside + pick.start
+            new = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+            of = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(own))))
+            # The context's range of successors, between its pointer and the next one.
+            low, high = pointers.get(own[new])[of], pointers.get(own[new] + 1)[of]
+            weight[at] = LEVELS[arrays["weight"][own]]
+            live = np.flatnonzero((low < high) & (wanted >= 0))
+            at, want, low, high = at[live], wanted[live].astype(np.uint64), low[live], high[live]
+            while len(at):
+                mid = (low + high) >> 1
+                value = packed_at(packed, self.word_bits, mid)
+                hit = value == want
+                node[at[hit]] = mid[hit] + base
+                share[at[hit]] = LEVELS[arrays["share"][mid[hit]]]
+                below = value < want
+                low, high = np.where(below, mid + 1, low), np.where(below, high, mid)
+                go = ~hit & (low < high)
+                at, want, low, high = at[go], want[go], low[go], high[go]
+        keys, codes = self.border[level]
+        if len(keys):
+            i = np.minimum(np.searchsorted(keys, parent), len(keys) - 1)
+            same = keys[i] == parent
+            weight[same] = LEVELS[codes[i[same]]]
         for whole, part in zip(out, (node, share, weight)):
             whole[known] = part[back]
         return out
@@ -404,11 +460,14 @@ def _counted(blobs: DataFrame, buckets: int, min_count: int) -> DataFrame:
     return blobs.repartition(buckets, "bucket").mapInArrow(tidy(run), "code long, n long")
 
 
-def _write_level(counts: DataFrame, spec: dict | None, uri: str, shards: int, discount: float) -> tuple[list[tuple[str, int, int]], int, int]:
-    """Build a level's shards from (code, n): their (uri, first key, nodes before them), the nodes and the sum of counts."""
+def _write_level(counts: DataFrame, spec: dict | None, uri: str, shards: int, discount: float) -> tuple[dict, int, int]:
+    """Build a level's shards from (code, n): their (uri, first key, nodes before them) and split contexts, the nodes and the sum of counts.
+
+    Shards are ranges of codes, so the successors of a frequent context may fill several; its weight is then made from all of them.
+    """
     words = spec["words"] if spec else 1
-    keyed = counts.withColumn("parent", F.expr(f"code div {words}"))
-    ordered = keyed.repartitionByRange(shards, "parent").sortWithinPartitions("code")
+    word_bits = max(1, (words - 1).bit_length())
+    ordered = counts.repartitionByRange(shards, "code").sortWithinPartitions("code")
 
     def run(batches):
         from pyspark import TaskContext
@@ -418,39 +477,51 @@ def _write_level(counts: DataFrame, spec: dict | None, uri: str, shards: int, di
         if not got:
             return
         code, n = np.concatenate([c for c, _ in got]), np.concatenate([c for _, c in got])
+        del got
+        ends, left = [0, 0], [0.0, 0.0]
         if spec is None:
-            arrays = ef_build(code, "keys") | {"count": n}
-            first = int(code[0])
+            arrays = ef_build(code, "keys")
         else:
             parent, word = code // words, code % words
             begin = np.flatnonzero(np.concatenate(([True], parent[1:] != parent[:-1])))
             context = parent[begin]
             of = Model.opened(spec).counts(len(spec["levels"]) - 1, context)
-            ordinal = np.cumsum(np.concatenate(([0], (parent[1:] != parent[:-1]).astype(np.int64))))
-            share = (n - discount) / of[ordinal]
-            weight = 1 - np.add.reduceat(share, begin)
-            arrays = ef_build(context, "contexts") | ef_build(np.append(begin, len(code)), "pointers") | ef_build(ordinal * words + word, "successors")
-            arrays |= {"share": quantise(share), "weight": quantise(np.maximum(weight, 0)), "count": n}
-            first = int(context[0])
+            size = np.diff(np.append(begin, len(code)))
+            share = (n - discount) / np.repeat(of, size)
+            taken = np.add.reduceat(share, begin)
+            ends, left = [int(context[0]), int(context[-1])], [float(taken[0]), float(taken[-1])]
+            # Pointers and weights of all parents from the shard's first to its last one, those without successors among them.
+            place = context - context[0]
+            per_parent = np.zeros(place[-1] + 1, np.int64)
+            per_parent[place] = size
+            weight = np.ones(place[-1] + 1)
+            weight[place] = np.maximum(1 - taken, 0)
+            arrays = ef_build(np.concatenate(([0], np.cumsum(per_parent))), "pointers")
+            arrays |= {"words": pack(word, word_bits), "share": quantise(share), "weight": quantise(weight), "parent": context[:1]}
         name = f"{uri}/shard-{part:05d}"
         save_arrays(name, arrays)
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([first], pa.int64()), pa.array([len(code)], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["part", "uri", "first", "n", "total"])
+        save_arrays(name + "-counts", {"count": n})
+        row = [part, name, int(code[0]), len(code), int(n.sum()), *ends, *left]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.string(), *[pa.int64()] * 5, *[pa.float64()] * 2))], ["part", "uri", "first", "n", "total", "a", "b", "taken_a", "taken_b"])
 
-    made = sorted(ordered.select("code", "n").mapInArrow(tidy(run), "part int, uri string, first long, n long, total long").collect())  # a row for each shard
-    base, out = 0, []
+    made = sorted(ordered.select("code", "n").mapInArrow(tidy(run), "part int, uri string, first long, n long, total long, a long, b long, taken_a double, taken_b double").collect())  # a row for each shard
+    base, out, taken = 0, [], {}
     for r in made:
         out.append((r.uri, r.first, base))
         base += r.n
-    return out, base, sum(r.total for r in made)
+        for context, x in {r.a: r.taken_a, r.b: r.taken_b}.items():
+            taken.setdefault(context, []).append(x)
+    split = {k: max(1 - sum(v), 0.0) for k, v in taken.items() if len(v) > 1} if spec else {}
+    return {"shards": out, "split": split}, base, sum(r.total for r in made)
 
 
-def train(docs: DataFrame, text_col: str = "text", order: int = 3, min_count: int = 2, discount: float = 0.6, shard_nodes: int = 3_000_000, bucket_tokens: int = 2_500_000) -> dict:
+def train(docs: DataFrame, text_col: str = "text", order: int = 3, min_count: int = 2, discount: float = 0.6, shard_nodes: int = 2_000_000, bucket_tokens: int = 1_500_000) -> dict:
     """Count and write the levels; the model's description. Every text counts in full."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (6 * bucket_tokens)))
     uri = new_path(texts.sparkSession, "lm")
-    shards = max(1, -(-size // (40 * shard_nodes)))
+    shards = max(1, -(-size // (8 * shard_nodes)))  # a token takes some 8 bytes; no level has more nodes than tokens
     level, words, total = _write_level(_counted(_blobs(texts, None, 0, buckets), buckets, 1), None, f"{uri}/level-1", shards, discount)
     spec = {"name": uri, "words": max(words, 1), "total": total, "distinct": words, "levels": [level]}
     for n in range(1, order):

@@ -51,7 +51,7 @@ def test_lm_matches_dictionary_version(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     train = [t for i, t in rows if i % 3]
     total, score = brute_model(train)
-    got = {r.doc_id: r for r in lm_trie.train_and_score(df, F.col("doc_id") % 3 != 0, shard_nodes=50).collect()}
+    got = {r.doc_id: r for r in lm_trie.train_and_score(df, F.col("doc_id") % 3 != 0, shard_nodes=500).collect()}
     assert len(got) == len(rows)
     for i, t in rows:
         n, known, base, logp = score(t)
@@ -69,6 +69,11 @@ def test_elias_fano():
     for n, top in ((1, 1), (5, 100), (1000, 10**9), (3000, 4000), (5000, 2**62)):
         v = np.unique(np.concatenate((rng.integers(0, top, n), rng.integers(0, max(top // 1000, 1), n))))
         e = lm_trie.EliasFano(lm_trie.ef_build(v, "x"), "x")
+        several = np.repeat(v, rng.integers(0, 4, len(v)))  # pointers repeat where a parent has no successors
+        if len(several):
+            assert (lm_trie.EliasFano(lm_trie.ef_build(several, "x"), "x").get(np.arange(len(several))) == several).all()
+        bits = int(v[-1]).bit_length()
+        assert (lm_trie.packed_at(lm_trie.pack(v, bits), bits, np.arange(len(v))) == v.astype(np.uint64)).all()
         assert (e.find(v) == np.arange(len(v))).all() and (e.get(np.arange(len(v))) == v).all()
         q = rng.integers(0, top, 500)
         at = np.minimum(np.searchsorted(v, q), len(v) - 1)
