@@ -107,8 +107,8 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def hashed_words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, laid end to end, and each text's number of words; distinct words are hashed once."""
+def coded_words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the distinct words of all texts, each word's place among them, texts laid end to end, and each text's number of words."""
     flat = pa.array(["" if t is None else t for t in texts], pa.large_string())
     cut = pc.ascii_split_whitespace(pc.ascii_lower(flat) if lower else flat)
     words, offsets = cut.values, cut.offsets.to_numpy()
@@ -117,7 +117,13 @@ def hashed_words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarr
     coded = words.filter(pa.array(real)).dictionary_encode()
     digest = xxhash.xxh64_intdigest
     table = np.array([digest(w, 20) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], np.uint64)
-    return table[coded.indices.to_numpy()], size.astype(np.int64)
+    return table, coded.indices.to_numpy(), size.astype(np.int64)
+
+
+def hashed_words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word, and each text's number of words."""
+    table, code, size = coded_words(texts, lower)
+    return table[code], size
 
 
 def marks(keys: DataFrame, key: str, bits: int = 24) -> DataFrame:

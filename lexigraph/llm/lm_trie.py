@@ -11,12 +11,12 @@ workers map into memory:
 * smoothed probabilities: log10 of (count - discount) / count of context, and of each context's remaining weight,
   quantised to 16 bits.
 
-A query reads its context's pointer and the next one and searches the successor within that range. Counts serve building only and
-lie in files of their own. Probabilities are
+A query reads its context's pointer and the next one and searches the successor within that range. Counts lie in files of their own;
+those of n-grams serve building only. Probabilities are
 interpolated: p(w | c) = kept share + weight(c) * p(w | shorter c), down to (c + 1) / (N + V + 1) for words.
 
-Counting is combined per task with numpy and shuffled as packed blobs dealt by a hash of the n-gram, so no
-frequent word or context makes a large task. The model grows with the corpus; nothing is broadcast:
+Counting is combined per task with numpy and shuffled once a level, as packed blobs dealt by ranges of codes that hold even sums of
+their parents' counts; a range becomes a shard. A frequent word or context may fill several ranges, so none makes a large task. The model grows with the corpus; nothing is broadcast:
 shards lie in the shared folder, where workers map them (a copy is fetched first if the folder isn't a mounted one).
 
 Null or empty text: the end token alone. Rows with a null id count as training rows. Repeated ids are
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_words, new_path, slices, tidy
+from .common import coded_words, delete_path, new_path, slices, tidy
 
 END = 0
 LOG_STEP = 1 / 4096
@@ -271,16 +271,17 @@ def summed(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return code[edge], np.add.reduceat(count[order], edge) if len(edge) else np.zeros(0, np.int64)
 
 
-def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """63-bit hashes of all tokens with END before and after each text, and where each text's tokens begin."""
-    words, size = hashed_words(texts, lower=True)
+def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending 63-bit hashes of the distinct tokens, the place of every token among them, with END before and after each text, and where each text's tokens begin."""
+    table, code, size = coded_words(texts, lower=True)
+    unique, place = np.unique(np.concatenate((np.zeros(1, np.uint64), np.maximum(table >> np.uint64(1), 1))), return_inverse=True)  # END is 0
     size = size + 2
     begin = np.cumsum(size) - size
-    out = np.zeros(int(size.sum()), np.uint64)
+    out = np.zeros(int(size.sum()), np.int64)
     inner = np.ones(len(out), bool)
     inner[begin] = inner[begin + size - 1] = False
-    out[inner] = np.maximum(words >> np.uint64(1), 1)
-    return out.view(np.int64), begin
+    out[inner] = place[1:][code]
+    return unique.view(np.int64), out, begin
 
 
 class Model:
@@ -301,7 +302,7 @@ class Model:
             keys = np.array(sorted(at), np.int64)
             self.border.append((keys, np.array([at[k] for k in keys.tolist()], np.uint16)))
         self.word_bits = max(1, (self.words - 1).bit_length())
-        self._counts: dict[str, np.ndarray] = {}
+        self._counts: dict[str, dict[str, np.ndarray]] = {}
 
     @classmethod
     def opened(cls, spec: dict) -> Model:
@@ -336,8 +337,13 @@ class Model:
             pick = np.flatnonzero((which == s) & (node >= 0))
             if len(pick):
                 if uri not in self._counts:
-                    self._counts[uri] = map_arrays(uri + "-counts")["count"]
-                out[pick] = self._counts[uri][node[pick] - base]
+                    folder, _, name = uri.rpartition("/")
+                    self._counts[uri] = map_arrays(f"{folder}-counts/{name}")
+                kept, i = self._counts[uri], node[pick] - base
+                n = kept["low"][i].astype(np.int64)
+                big = np.flatnonzero(n == 255)
+                n[big] = kept["high"][np.searchsorted(kept["at"], i[big])]
+                out[pick] = n
         return out
 
     def successors(self, level: int, parent: np.ndarray, word: np.ndarray):
@@ -394,8 +400,8 @@ class Model:
             yield node, share, weight
 
 
-def _blobs(docs: DataFrame, spec: dict | None, level: int, buckets: int, held: int = 3_000_000) -> DataFrame:
-    """Rows (bucket, data): counts of level `level` codes (0: word hashes; else parent node * words + word)."""
+def _blobs(docs: DataFrame, spec: dict | None, level: int, cuts: np.ndarray, held: int = 3_000_000) -> DataFrame:
+    """Rows (bucket, data): counts of level `level` codes (0: word hashes; else parent node * words + word). Bucket k has the codes from cuts[k] on."""
 
     def run(batches):
         model = Model.opened(spec) if spec else None
@@ -404,31 +410,26 @@ def _blobs(docs: DataFrame, spec: dict | None, level: int, buckets: int, held: i
 
         def flush():
             code, count = np.unique(np.concatenate(codes), return_counts=True)
-            bucket = ((code * np.int64(-7046029254386353131)) >> np.int64(20)) % buckets
-            order = np.argsort(bucket, kind="stable")
-            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = [(b, pack_counts(code[order[x:y]], count[order[x:y]])) for b, (x, y) in enumerate(zip(edge[:-1], edge[1:])) if y > x]
+            edge = [0, *np.searchsorted(code, cuts[1:]).tolist(), len(code)]
+            rows = [(b, pack_counts(code[x:y], count[x:y])) for b, (x, y) in enumerate(zip(edge, edge[1:])) if y > x]
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], ["bucket", "data"])
 
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in slices([len(t or "") for t in texts], 3_000_000):
-                hashes, begin = tokens_of(texts[a:b])
+                unique, token, begin = tokens_of(texts[a:b])
+                start = np.zeros(len(token), bool)
+                start[begin] = True
                 if not level:
-                    keep = np.ones(len(hashes), bool)
-                    keep[begin] = False
-                    code = hashes[keep]
+                    code = unique[token[~start]]
                 else:
-                    unique, back = np.unique(hashes, return_inverse=True)
-                    number = model.word_numbers(unique)[back]
+                    number = model.word_numbers(unique)[token]
                     node = number
                     for node, _, _ in model.chain(number, begin, level):
                         pass
-                    since = np.zeros(len(number), bool)
-                    since[begin] = True
-                    ok = np.flatnonzero(~since)
+                    ok = np.flatnonzero(~start)
                     if level > 1:  # the parent must lie within the text
-                        far = np.arange(len(number)) - np.maximum.accumulate(np.where(since, np.arange(len(number)), 0))
+                        far = np.arange(len(number)) - np.maximum.accumulate(np.where(start, np.arange(len(number)), 0))
                         ok = ok[far[ok] >= level]
                     ok = ok[node[ok - 1] >= 0]
                     code = node[ok - 1] * model.words + number[ok]
@@ -443,41 +444,25 @@ def _blobs(docs: DataFrame, spec: dict | None, level: int, buckets: int, held: i
     return docs.mapInArrow(tidy(run), "bucket int, data binary")
 
 
-def _counted(blobs: DataFrame, buckets: int, min_count: int) -> DataFrame:
-    def run(batches):
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for b, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(b, []).append(d)
-        for b in list(held):
-            parts = [unpack_counts(d) for d in held.pop(b)]
-            code, count = summed(np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts]))
-            keep = count >= min_count
-            code, count = code[keep], count[keep]
-            for a in range(0, len(code), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(code[a : a + 200_000]), pa.array(count[a : a + 200_000])], ["code", "n"])
+POINTS = 64
 
-    return blobs.repartition(buckets, "bucket").mapInArrow(tidy(run), "code long, n long")
 
+def _write_level(blobs: DataFrame, spec: dict | None, uri: str, buckets: int, min_count: int, discount: float, last: bool) -> tuple[dict, int, int, np.ndarray]:
+    """Sum each bucket's counts and write them as a shard: the level's shards (uri, first key, nodes before them) and split contexts, its
+    nodes, the sum of counts, and points (counts before, node) at which the next level can be cut.
 
-def _write_level(counts: DataFrame, spec: dict | None, uri: str, shards: int, discount: float) -> tuple[dict, int, int]:
-    """Build a level's shards from (code, n): their (uri, first key, nodes before them) and split contexts, the nodes and the sum of counts.
-
-    Shards are ranges of codes, so the successors of a frequent context may fill several; its weight is then made from all of them.
+    The successors of a frequent context may fill several shards; its weight is then made from all of them.
     """
     words = spec["words"] if spec else 1
     word_bits = max(1, (words - 1).bit_length())
-    ordered = counts.repartitionByRange(shards, "code").sortWithinPartitions("code")
 
-    def run(batches):
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        got = [(b.column("code").to_numpy(), b.column("n").to_numpy()) for b in batches]
-        if not got:
-            return
-        code, n = np.concatenate([c for c, _ in got]), np.concatenate([c for _, c in got])
-        del got
+    def write(bucket: int, parts: list[bytes]):
+        pairs = [unpack_counts(d) for d in parts]
+        code, n = summed(np.concatenate([c for c, _ in pairs]), np.concatenate([k for _, k in pairs]))
+        del pairs
+        code, n = code[n >= min_count], n[n >= min_count]
+        if not len(code):
+            return None
         ends, left = [0, 0], [0.0, 0.0]
         if spec is None:
             arrays = ef_build(code, "keys")
@@ -498,37 +483,64 @@ def _write_level(counts: DataFrame, spec: dict | None, uri: str, shards: int, di
             weight[place] = np.maximum(1 - taken, 0)
             arrays = ef_build(np.concatenate(([0], np.cumsum(per_parent))), "pointers")
             arrays |= {"words": pack(word, word_bits), "share": quantise(share), "weight": quantise(weight), "parent": context[:1]}
-        name = f"{uri}/shard-{part:05d}"
+        name = f"{uri}/shard-{bucket:06d}"
         save_arrays(name, arrays)
-        save_arrays(name + "-counts", {"count": n})
-        row = [part, name, int(code[0]), len(code), int(n.sum()), *ends, *left]
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.string(), *[pa.int64()] * 5, *[pa.float64()] * 2))], ["part", "uri", "first", "n", "total", "a", "b", "taken_a", "taken_b"])
+        points = [0.0]
+        if not last:  # the last level is no context
+            save_arrays(f"{uri}-counts/shard-{bucket:06d}", {"low": np.minimum(n, 255).astype(np.uint8), "at": np.flatnonzero(n >= 255), "high": n[n >= 255]})
+            before = np.cumsum(n) - n
+            mass = np.arange(POINTS) * (int(n.sum()) / POINTS)
+            i = np.searchsorted(before, mass, "right") - 1
+            points = (i + (mass - before[i]) / n[i]).tolist()
+        return bucket, name, int(code[0]), len(code), int(n.sum()), *ends, *left, points
+
+    names = ["bucket", "uri", "first", "n", "total", "a", "b", "taken_a", "taken_b", "points"]
+    kinds = [pa.int32(), pa.string(), *[pa.int64()] * 5, *[pa.float64()] * 2, pa.list_(pa.float64())]
+
+    def run(batches):
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for b, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(b, []).append(d)
+        for b in list(held):
+            row = write(b, held.pop(b))
+            if row:
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names)
 
-    made = sorted(ordered.select("code", "n").mapInArrow(tidy(run), "part int, uri string, first long, n long, total long, a long, b long, taken_a double, taken_b double").collect())  # a row for each shard
-    base, out, taken = 0, [], {}
+    dealt = blobs.repartition(buckets, "bucket")
+    made = sorted(dealt.mapInArrow(tidy(run), "bucket int, uri string, first long, n long, total long, a long, b long, taken_a double, taken_b double, points array<double>").collect())  # a row for each shard
+    base, mass, out, taken, points = 0, 0, [], {}, []
     for r in made:
         out.append((r.uri, r.first, base))
+        points += [(mass + k * r.total / len(r.points), base + p) for k, p in enumerate(r.points)]
         base += r.n
+        mass += r.total
         for context, x in {r.a: r.taken_a, r.b: r.taken_b}.items():
             taken.setdefault(context, []).append(x)
     split = {k: max(1 - sum(v), 0.0) for k, v in taken.items() if len(v) > 1} if spec else {}
-    return {"shards": out, "split": split}, base, sum(r.total for r in made)
+    return {"shards": out, "split": split}, base, mass, np.array([*points, (mass, base)])
 
 
-def train(docs: DataFrame, text_col: str = "text", order: int = 3, min_count: int = 2, discount: float = 0.6, shard_nodes: int = 2_000_000, bucket_tokens: int = 1_500_000) -> dict:
-    """Count and write the levels; the model's description. Every text counts in full."""
+def train(docs: DataFrame, text_col: str = "text", order: int = 3, min_count: int = 2, discount: float = 0.6, shard_tokens: int = 2_000_000) -> dict:
+    """Count and write the levels; the model's description. Every text counts in full; a shard is made of some `shard_tokens` tokens."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (6 * bucket_tokens)))
     uri = new_path(texts.sparkSession, "lm")
-    shards = max(1, -(-size // (8 * shard_nodes)))  # a token takes some 8 bytes; no level has more nodes than tokens
-    level, words, total = _write_level(_counted(_blobs(texts, None, 0, buckets), buckets, 1), None, f"{uri}/level-1", shards, discount)
+    buckets = max(1, -(-size // (6 * shard_tokens)))
+    cuts = np.array([(k << 63) // buckets for k in range(buckets)], np.int64)  # hashes are spread evenly
+    level, words, total, points = _write_level(_blobs(texts, None, 0, cuts), None, f"{uri}/level-1", buckets, 1, discount, order == 1)
     spec = {"name": uri, "words": max(words, 1), "total": total, "distinct": words, "levels": [level]}
     for n in range(1, order):
-        level, nodes, _ = _write_level(_counted(_blobs(texts, spec, n, buckets), buckets, min_count), spec, f"{uri}/level-{n + 1}", shards, discount)
+        # A parent's count bounds its successors, so cuts at even sums of counts give shards of even size.
+        buckets = max(1, -(-total // shard_tokens))
+        at = np.interp(np.arange(buckets) * (points[-1, 0] / buckets), points[:, 0], points[:, 1])
+        cuts = np.floor(at).astype(np.int64) * spec["words"] + np.floor((at - np.floor(at)) * spec["words"]).astype(np.int64)
+        level, nodes, _, points = _write_level(_blobs(texts, spec, n, cuts), spec, f"{uri}/level-{n + 1}", buckets, min_count, discount, n + 1 == order)
         if not nodes:
             break
         spec = spec | {"levels": [*spec["levels"], level]}
+        if n > 1:
+            delete_path(texts.sparkSession, f"{uri}/level-{n}-counts")  # words' counts serve scoring too
     return spec
 
 
@@ -540,9 +552,8 @@ def score(docs: DataFrame, spec: dict, id_col: str = "doc_id", text_col: str = "
         model = Model.opened(spec)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in slices([len(t or "") for t in texts], 2_000_000):
-                hashes, begin = tokens_of(texts[a:b])
-                unique, back = np.unique(hashes, return_inverse=True)
+            for a, b in slices([len(t or "") for t in texts], 4_000_000):
+                unique, back, begin = tokens_of(texts[a:b])
                 number = model.word_numbers(unique)
                 count = model.counts(0, number)[back]
                 base = (count + 1) / (model.total + spec["distinct"] + 1)
@@ -550,7 +561,7 @@ def score(docs: DataFrame, spec: dict, id_col: str = "doc_id", text_col: str = "
                 for _, share, weight in model.chain(number[back], begin, len(spec["levels"])):
                     if share is not None:
                         p = share + weight * p
-                size = np.diff(np.append(begin, len(hashes)))
+                size = np.diff(np.append(begin, len(back)))
                 count[begin] = 0
                 logs = [np.log10(base), np.log10(np.maximum(p, 1e-300))]
                 for x in logs:

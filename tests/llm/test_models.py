@@ -51,7 +51,7 @@ def test_lm_matches_dictionary_version(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     train = [t for i, t in rows if i % 3]
     total, score = brute_model(train)
-    got = {r.doc_id: r for r in lm_trie.train_and_score(df, F.col("doc_id") % 3 != 0, shard_nodes=500).collect()}
+    got = {r.doc_id: r for r in lm_trie.train_and_score(df, F.col("doc_id") % 3 != 0, shard_tokens=700).collect()}
     assert len(got) == len(rows)
     for i, t in rows:
         n, known, base, logp = score(t)
