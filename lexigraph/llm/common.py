@@ -115,8 +115,8 @@ def coded_words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarra
     real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # empty ones stand at the ends of texts
     size = np.diff(np.concatenate(([0], np.cumsum(real)))[offsets])
     coded = words.filter(pa.array(real)).dictionary_encode()
-    digest = xxhash.xxh64_intdigest
-    table = np.array([digest(w, 20) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], np.uint64)
+    digest = xxhash.xxh64_digest
+    table = np.frombuffer(b"".join([digest(w, 20) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]), ">u8").astype(np.uint64)
     return table, coded.indices.to_numpy(), size.astype(np.int64)
 
 

@@ -91,7 +91,7 @@ def map_arrays(uri: str) -> dict[str, np.ndarray]:
     raw = np.memmap(path, np.uint8, "r")
     n = int.from_bytes(raw[:8].tobytes(), "little")
     head = json.loads(raw[8 : 8 + n].tobytes())
-    return {k: raw[8 + n + at : 8 + n + at + np.dtype(d).itemsize * size].view(d) for k, (d, size, at) in head.items()}
+    return {k: raw[8 + n + at : 8 + n + at + np.dtype(d).itemsize * size].view(d).view(np.ndarray) for k, (d, size, at) in head.items()}
 
 
 # Elias-Fano sequences
@@ -303,6 +303,7 @@ class Model:
             self.border.append((keys, np.array([at[k] for k in keys.tolist()], np.uint16)))
         self.word_bits = max(1, (self.words - 1).bit_length())
         self._counts: dict[str, dict[str, np.ndarray]] = {}
+        self._recent = np.array([-1], np.int64), np.array([-1], np.int64)
 
     @classmethod
     def opened(cls, spec: dict) -> Model:
@@ -321,7 +322,22 @@ class Model:
                 yield s, slice(a, b)
 
     def word_numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of ascending hashes; -1 for unknown words."""
+        """Numbers of ascending hashes; -1 for unknown words. What recent calls found is remembered up to a bound."""
+        known, numbers = self._recent
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        old = known[at] == hashes
+        out = np.where(old, numbers[at], -1)
+        new = hashes[~old]
+        if len(new):
+            out[~old] = found = self._find_words(new)
+            if len(known) + len(new) > 1_000_000:
+                known, numbers, new, found = known[at[old]], numbers[at[old]], hashes[~old], out[~old]
+            both, of = np.concatenate((known, new)), np.concatenate((numbers, found))
+            order = np.argsort(both, kind="stable")
+            self._recent = both[order], of[order]
+        return out
+
+    def _find_words(self, hashes: np.ndarray) -> np.ndarray:
         out = np.full(len(hashes), -1, np.int64)
         for s, pick in self._by_shard(0, hashes):
             i = self.sets[0][s].find(hashes[pick])
@@ -416,7 +432,7 @@ def _blobs(docs: DataFrame, spec: dict | None, level: int, cuts: np.ndarray, hel
 
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in slices([len(t or "") for t in texts], 3_000_000):
+            for a, b in slices([len(t or "") for t in texts], 6_000_000):
                 unique, token, begin = tokens_of(texts[a:b])
                 start = np.zeros(len(token), bool)
                 start[begin] = True
@@ -552,7 +568,7 @@ def score(docs: DataFrame, spec: dict, id_col: str = "doc_id", text_col: str = "
         model = Model.opened(spec)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in slices([len(t or "") for t in texts], 4_000_000):
+            for a, b in slices([len(t or "") for t in texts], 6_000_000):
                 unique, back, begin = tokens_of(texts[a:b])
                 number = model.word_numbers(unique)
                 count = model.counts(0, number)[back]
