@@ -107,17 +107,37 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches put together up to about `limit` bytes of a text column: the more text at once, the fewer distinct words."""
+    held, total = [], 0
+    for batch in batches:
+        size = pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if held and total + size > limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, total = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            total += size
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def coded_words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the distinct words of all texts, each word's place among them, texts laid end to end, and each text's number of words."""
+    """64-bit hashes of the distinct words of all texts (that of the empty string may be among them), each word's place among them, texts laid end to end, and each text's number of words."""
     flat = pa.array(["" if t is None else t for t in texts], pa.large_string())
     cut = pc.ascii_split_whitespace(pc.ascii_lower(flat) if lower else flat)
-    words, offsets = cut.values, cut.offsets.to_numpy()
-    real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # empty ones stand at the ends of texts
-    size = np.diff(np.concatenate(([0], np.cumsum(real)))[offsets])
-    coded = words.filter(pa.array(real)).dictionary_encode()
+    coded, offsets = cut.values.dictionary_encode(), cut.offsets.to_numpy()
+    code = coded.indices.to_numpy()
+    empty = pc.index(coded.dictionary, pa.scalar("", pa.large_string())).as_py()  # stands at the ends of texts
+    if empty < 0:
+        size = np.diff(offsets)
+    else:
+        real = code != empty
+        size = np.diff(np.concatenate(([0], np.cumsum(real)))[offsets])
+        code = code[real]
     digest = xxhash.xxh64_digest
     table = np.frombuffer(b"".join([digest(w, 20) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]), ">u8").astype(np.uint64)
-    return table, coded.indices.to_numpy(), size.astype(np.int64)
+    return table, code, size.astype(np.int64)
 
 
 def hashed_words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

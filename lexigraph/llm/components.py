@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         hung = small.join(floor, "a")
         new = hung.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(floor.select("a", F.col("m").alias("b"))).distinct()
         new = materialize(new, "edges")
-        sign = new.agg(F.count("*"), F.sum("b"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        sign = new.agg(F.count("*"), F.sum(F.xxhash64("b", "a").bitwiseAND(F.lit(0xFFFFFFFF))), F.bit_xor(F.xxhash64("a", "b"))).first()
         discard(links)
         links = new
         if sign == seen:

@@ -10,6 +10,7 @@ by farthest-first choice among `pivot_sample` vectors); they affect speed only,
 Candidates and queries are packed into blocks; each pair of blocks is one unit of work and gives k rows a query,
 which are merged by a partial top-k. Blocks are joined on a salted key.
 
+Scores are exact below 2^53 in size; larger ones are those of double precision, at most 2^63 - 1024 in size.
 Vectors that are null, empty or hold null or non-finite components take no part. Queries with fewer than k other vectors get
 all of them. Ties go to the smaller id. Repeated ids: "not the query's own" compares ids. Vectors are compared only
 with vectors of equal length. Extra columns are ignored; empty tables give no rows.
@@ -25,6 +26,10 @@ from pyspark.sql import functions as F
 from .common import tidy
 
 
+#: The greatest double below 2^63.
+LARGEST = float(2**63 - 1024)
+
+
 def spread_pivots(sample: np.ndarray, count: int) -> np.ndarray:
     """Farthest-first choice."""
     chosen = [0]
@@ -121,7 +126,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
                     got, score = made[ids].search(own, q, k)
                     out[0] += [own] * len(got)
                     out[1] += got.tolist()
-                    out[2] += score.astype(np.int64).tolist()
+                    out[2] += np.clip(score, -LARGEST, LARGEST).astype(np.int64).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["query_id", "id", "score"])
 
     found = pairs.mapInArrow(tidy(run), "query_id long, id long, score long")

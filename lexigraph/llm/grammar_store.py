@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_path, slices, tidy
+from .common import gathered, new_path, slices, tidy
 from .tokens import PieceEncoder, default_path
 
 MAGIC = b"LXRP1\0\0\0"
@@ -81,7 +81,12 @@ def repair(ids: np.ndarray, ends: np.ndarray, first_rule: int, min_count: int =
             break
         threshold = max(min_count, min(top, threshold or top) // shrink)
         pairs = pairs[count >= threshold]
-        pair_at = places(code, pairs)
+        # Only places whose symbols begin and end some frequent pair are looked up.
+        begins, closes = np.zeros(first_rule + n_rules, bool), np.zeros(first_rule + n_rules, bool)
+        begins[pairs >> 32] = closes[pairs & 0xFFFFFFFF] = True
+        may = np.flatnonzero(begins[sym[:-1]] & closes[sym[1:]])
+        pair_at = np.zeros(len(sym), np.int32)
+        pair_at[may] = places(code[may], pairs)
         hit = np.flatnonzero(pair_at)
         # Among overlapping hits every other one of a run is taken, from its left.
         run = np.concatenate(([True], np.diff(hit) != 1))
@@ -209,9 +214,9 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 ["part", "shard", "n_docs", "n_tokens", "data"],
             )
 
-        for batch in batches:
+        for batch in gathered(batches, 1, 6_000_000):
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices([len(t or "") for t in texts], 2_000_000):
+            for a, b in slices([len(t or "") for t in texts], 6_000_000):
                 for key, coded in zip(names[a:b], coder.encode(texts[a:b])):
                     if total and total + len(coded) // 4 >= shard_tokens:
                         yield close()

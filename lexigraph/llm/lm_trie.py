@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import coded_words, delete_path, new_path, slices, tidy
+from .common import coded_words, delete_path, gathered, new_path, slices, tidy
 
 END = 0
 LOG_STEP = 1 / 4096
@@ -362,9 +362,9 @@ class Model:
                 out[pick] = n
         return out
 
-    def successors(self, level: int, parent: np.ndarray, word: np.ndarray):
-        """For pairs (node of the level above, word number; -1: none): node or -1, kept share and the context's weight."""
-        out = np.full(len(parent), -1, np.int64), np.zeros(len(parent)), np.ones(len(parent))
+    def successors(self, level: int, parent: np.ndarray, word: np.ndarray, values: bool = True):
+        """For pairs (node of the level above, word number; -1: none): node or -1 and, with values, kept share and the context's weight."""
+        out = (np.full(len(parent), -1, np.int64), np.zeros(len(parent)), np.ones(len(parent)))[: 1 + 2 * values]
         known = np.flatnonzero(parent >= 0)
         # Each distinct pair is looked up once, in order, so that neighbours touch the same pages.
         pair, back = np.unique(parent[known] * (self.words + 1) + word[known] + 1, return_inverse=True)
@@ -381,7 +381,8 @@ class Model:
             of = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(own))))
             # The context's range of successors, between its pointer and the next one.
             low, high = pointers.get(own[new])[of], pointers.get(own[new] + 1)[of]
-            weight[at] = LEVELS[arrays["weight"][own]]
+            if values:
+                weight[at] = LEVELS[arrays["weight"][own[new]]][of]
             live = np.flatnonzero((low < high) & (wanted >= 0))
             at, want, low, high = at[live], wanted[live].astype(np.uint64), low[live], high[live]
             while len(at):
@@ -389,21 +390,22 @@ class Model:
                 value = packed_at(packed, self.word_bits, mid)
                 hit = value == want
                 node[at[hit]] = mid[hit] + base
-                share[at[hit]] = LEVELS[arrays["share"][mid[hit]]]
+                if values:
+                    share[at[hit]] = LEVELS[arrays["share"][mid[hit]]]
                 below = value < want
                 low, high = np.where(below, mid + 1, low), np.where(below, high, mid)
                 go = ~hit & (low < high)
                 at, want, low, high = at[go], want[go], low[go], high[go]
         keys, codes = self.border[level]
-        if len(keys):
+        if len(keys) and values:
             i = np.minimum(np.searchsorted(keys, parent), len(keys) - 1)
             same = keys[i] == parent
             weight[same] = LEVELS[codes[i[same]]]
         for whole, part in zip(out, (node, share, weight)):
             whole[known] = part[back]
-        return out
+        return out if values else (*out, None, None)
 
-    def chain(self, number: np.ndarray, begin: np.ndarray, upto: int):
+    def chain(self, number: np.ndarray, begin: np.ndarray, upto: int, values: bool = True):
         """Nodes of the n-grams that end at each token, for n = 1 .. upto, with their shares and weights."""
         start = np.zeros(len(number), bool)
         start[begin] = True
@@ -412,7 +414,7 @@ class Model:
         for n in range(2, upto + 1):
             parent = np.concatenate(([-1], node[:-1]))
             parent[since < n - 1] = -1
-            node, share, weight = self.successors(n - 1, parent, number)
+            node, share, weight = self.successors(n - 1, parent, number, values)
             yield node, share, weight
 
 
@@ -430,7 +432,7 @@ def _blobs(docs: DataFrame, spec: dict | None, level: int, cuts: np.ndarray, hel
             rows = [(b, pack_counts(code[x:y], count[x:y])) for b, (x, y) in enumerate(zip(edge, edge[1:])) if y > x]
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], ["bucket", "data"])
 
-        for batch in batches:
+        for batch in gathered(batches, 0, 7_000_000):
             texts = batch.column(0).to_pylist()
             for a, b in slices([len(t or "") for t in texts], 6_000_000):
                 unique, token, begin = tokens_of(texts[a:b])
@@ -441,7 +443,7 @@ def _blobs(docs: DataFrame, spec: dict | None, level: int, cuts: np.ndarray, hel
                 else:
                     number = model.word_numbers(unique)[token]
                     node = number
-                    for node, _, _ in model.chain(number, begin, level):
+                    for node, _, _ in model.chain(number, begin, level, values=False):
                         pass
                     ok = np.flatnonzero(~start)
                     if level > 1:  # the parent must lie within the text
@@ -566,7 +568,7 @@ def score(docs: DataFrame, spec: dict, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         model = Model.opened(spec)
-        for batch in batches:
+        for batch in gathered(batches, 1, 7_000_000):
             texts = batch.column(1).to_pylist()
             for a, b in slices([len(t or "") for t in texts], 6_000_000):
                 unique, back, begin = tokens_of(texts[a:b])

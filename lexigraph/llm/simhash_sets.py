@@ -91,7 +91,7 @@ def signatures(rows: DataFrame, size: int, bits: int, whole: bool = False) -> Da
     return rows.select("row", "text").mapInArrow(tidy(run), "row long, digest binary, fp binary" + ", shingles binary" * whole)
 
 
-def _words(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def fingerprint_words(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Fingerprints as a matrix of 64-bit words."""
     data = b"".join(column.to_pylist())
     return np.frombuffer(data, np.uint64).reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.uint64)
@@ -114,7 +114,7 @@ def tables(classes: DataFrame, width: int, segments: int, lead: int) -> DataFram
             if not batch.num_rows:
                 continue
             row, fp = batch.column("row"), batch.column("fp")
-            value = _segments(_words(fp), width, segments)
+            value = _segments(fingerprint_words(fp), width, segments)
             for s in range(segments):
                 for flip in range(-1, lead):
                     v = value[:, s] ^ (1 << (width - lead + flip)) if flip >= 0 else value[:, s]
@@ -203,7 +203,7 @@ def meetings(classes: DataFrame, count: int, width: int, segments: int, limit: i
     def run(table: pa.Table):
         unit = table.column("unit").to_numpy()
         segment, value, row = (table.column(c).to_numpy() for c in ("segment", "value", "row"))
-        own, words = np.asarray(table.column("own").to_numpy(zero_copy_only=False), bool), _words(table.column("fp"))
+        own, words = np.asarray(table.column("own").to_numpy(zero_copy_only=False), bool), fingerprint_words(table.column("fp"))
         for x, y in unit_ranges(unit):
             key, at = balls(own[x:y], value[x:y], width - lead if spread else 0)
             a, b = table_links(key, at, row[x:y], words[x:y], limit, group, int(segment[x]))
@@ -255,7 +255,7 @@ def tile_links(share: tuple[int, int], limit: int):
 
     def run(table: pa.Table):
         unit, row, part, side = (table.column(c).to_numpy() for c in ("unit", "row", "part", "side"))
-        diagonal, words = np.asarray(table.column("diagonal").to_numpy(zero_copy_only=False), bool), _words(table.column("fp"))
+        diagonal, words = np.asarray(table.column("diagonal").to_numpy(zero_copy_only=False), bool), fingerprint_words(table.column("fp"))
         data = table.column("shingles").combine_chunks()
         for x, y in unit_ranges(unit):
             sets = [np.frombuffer(s, np.uint64) for s in data.slice(x, y - x).to_pylist()]

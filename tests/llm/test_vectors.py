@@ -31,8 +31,8 @@ def good(v):
     return v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v)
 
 
-@pytest.mark.parametrize("block", [8, 1024])
-def test_near_vectors(spark, block):
+@pytest.mark.parametrize("sizes", [{}, {"block": 8}, {"group": 5}])
+def test_near_vectors(spark, sizes):
     rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], lab) for i, v, lab in sample()]
     use = [(i, np.array(v) / np.linalg.norm(v), lab) for i, v, lab in rows if good(v) and any(v) and lab is not None]
     up, n = {i: i for i, _, _ in rows}, {i: 0 for i, _, _ in rows}
@@ -49,7 +49,7 @@ def test_near_vectors(spark, block):
                 n[b] += 1
                 p, q = root(a), root(b)
                 up[max(p, q)] = min(p, q)
-    got = {r.vec_id: (r.n_links, r.component) for r in embedding_dedup.near_vectors(frame(spark, rows), block=block).collect()}
+    got = {r.vec_id: (r.n_links, r.component) for r in embedding_dedup.near_vectors(frame(spark, rows), **sizes).collect()}
     assert got == {i: (n[i], root(i)) for i, _, _ in rows}
 
 
@@ -98,3 +98,29 @@ def test_components(spark):
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     linked = {k for a, b in edges if a is not None and a != b for k in (a, b)}
     assert got == {k: root(k) for k in linked}
+
+
+def test_pairs_at_the_threshold_meet():
+    """Recall of tables and sign distance on pairs of cosine 0.93, by brute force, at several sizes."""
+    rng = np.random.default_rng(9)
+    for n in (1000, 10**6):
+        bits, tables, limit = embedding_dedup.plan(n, 0.93, 2e-5)
+        plane = embedding_dedup.planes(64, tables, bits, 7)
+        x, y = rng.standard_normal((2, 3000, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (x * y).sum(1, keepdims=True) * x
+        y = 0.93 * x + math.sqrt(1 - 0.93**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+        differ = (x @ plane > 0) != (y @ plane > 0)
+        met = ~differ.reshape(3000, tables, bits).any(2)
+        assert (met.any(1) & (differ.sum(1) <= limit)).mean() >= 0.999
+    assert embedding_dedup.plan(10**6, 0.93, 2e-5)[0] > embedding_dedup.plan(1000, 0.93, 2e-5)[0]
+
+
+def test_repeated_ids_and_huge_components(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 2), (2, [1.0, 0.01], 1), (3, [0.01, 1.0], 2), (None, [1.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((tuple(r) for r in embedding_dedup.near_vectors(df).collect()), key=str)
+    assert got == sorted([(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (None, 0, None)], key=str)
+    huge = spark.createDataFrame([(50, [1e18, 1.0], 1), (2, [1e18, 1.0], 1), (3, [-1e18, 0.0], 1), (None, [1.0, 1.0], 1)], "vec_id long, embedding array<double>, label int")
+    got = {r.rank: (r.vec_id, r.score) for r in exact_topk.top_k(huge, F.col("vec_id") % 50 == 0).collect()}
+    assert got == {1: (2, 2**63 - 1024), 2: (3, -(2**63 - 1024))}
