@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from .common import CACHES
 
 #: A space with white space before and after it (or the end): the cut there isn't safe.
-UNSAFE_CUT = re.compile(r"[\s᠎] (?:[\s᠎]|\Z)")
+UNSAFE_CUT = re.compile(r" (?<=[\s᠎] )(?:[\s᠎]|\Z)")
 #: Letters that every Unicode version counts as such, and marks that aren't letters, digits, spaces or apostrophes.
 LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ſ]", r"[!#-&(-/:-@\[-`{-~]"
 #: Pieces whose words are plain: letters (after the cut's space), marks, a line end, letters, marks.
