@@ -51,10 +51,12 @@ def confusion(predicted: Column, actual: Column) -> list[Column]:
 
 def index_quartiles(df: DataFrame, by: str, value: str) -> DataFrame:
     """Values at positions n/4, n/2 and 3n/4 of the sorted values (not interpolated), and the mean."""
-    w = Window.partitionBy(by).orderBy(value, "_tie")
-    ranked = df.withColumn("_tie", F.monotonically_increasing_id()).withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(by))})
-    at = lambda k: F.max(F.when(F.col("_i") == F.floor(F.col("_n") * k / 4), F.col(value)))
-    return ranked.groupBy(by).agg(at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"), F.avg(value).alias("mean"))
+    # Equal values are counted first, so a group's task holds its distinct values only.
+    counts = df.groupBy(by, value).agg(F.count("*").alias("_k"))
+    each = Window.partitionBy(by)
+    placed = counts.withColumns({"_upto": F.sum("_k").over(each.orderBy(value)), "_n": F.sum("_k").over(each)})
+    at = lambda k: F.min(F.when(F.col("_upto") > F.floor(F.col("_n") * k / 4), F.col(value)))
+    return placed.groupBy(by).agg(at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"), (F.sum(F.col(value) * F.col("_k")) / F.sum(F.when(F.col(value).isNotNull(), F.col("_k")))).alias("mean"))
 
 
 def bins(value: Column, edges: list[int]) -> Column:
