@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gathered, new_path, slices, tidy
+from .common import gathered, materialize, new_path, slices, tidy
 from .tokens import PieceEncoder, default_path
 
 MAGIC = b"LXRP1\0\0\0"
@@ -243,6 +243,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     parts = parts.select("part", F.coalesce(F.sum("part_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_start"))
     shards = store.select("part", "shard", F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shard_start"))
     starts = shards.join(parts, "part").select("part", "shard", (F.col("part_start") + F.col("shard_start")).alias("base"))
+    starts = materialize(starts, "token-starts")  # as a table of known size Spark can broadcast it, and the shards aren't shuffled
 
     def run(batches):
         for batch in batches:
