@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def length_ordered(df: DataFrame, text: str, key: str) -> DataFrame:
     """Adds pos (from 0) in order of length, then key.
 
-    Positions come from counts of each length, so only texts of one length meet in a task, not the whole table.
+    Positions come from counts of each length; all texts of one length meet in one task, so a very common length makes a large one.
     """
     sized = df.withColumn("_len", F.length(text))
     before = sized.groupBy("_len").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_len").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
