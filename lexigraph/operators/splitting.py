@@ -8,15 +8,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def length_ordered(df: DataFrame, text: str, key: str) -> DataFrame:
-    """Adds pos (from 0) in order of length, then key.
+def length_ordered(df: DataFrame, text: str, key: str, task_rows: int = 1_000_000, pieces: int = 256) -> DataFrame:
+    """Adds pos (from 0) in order of length, then key; null lengths and keys come first, and the order of rows with equal keys is open.
 
-    Positions come from counts of each length; all texts of one length meet in one task, so a very common length makes a large one.
+    Positions come from counts. A length of over `task_rows` rows is cut into ranges of keys, at the keys whose hash falls into one of
+    count / pieces classes: some `pieces` of them however many rows there are, and the same whenever a task runs again.
     """
-    sized = df.withColumn("_len", F.length(text))
-    before = sized.groupBy("_len").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_len").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = sized.withColumn("_rn", F.row_number().over(Window.partitionBy("_len").orderBy(key)) - 1)
-    return ranked.join(before.select("_len", "_before"), "_len").withColumn("pos", F.col("_before") + F.col("_rn")).drop("_len", "_before", "_rn")
+    sized = df.withColumn("_len", F.coalesce(F.length(text), F.lit(-1)))
+    common = sized.groupBy("_len").agg(F.count("*").alias("_n")).where(F.col("_n") > task_rows)
+    chosen = F.pmod(F.xxhash64(key), F.greatest(F.ceil(F.col("_n") / pieces), F.lit(1))) == 0
+    cuts = sized.join(common, "_len").where(chosen).groupBy("_len").agg(F.array_sort(F.collect_set(key)).alias("_cuts"))
+    # The number of cuts at or below the key, 0 for null keys and lengths without cuts.
+    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(key))), F.lit(0))
+    placed = sized.join(cuts, "_len", "left").withColumn("_part", F.greatest(part, F.lit(0))).drop("_cuts")
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_len", "_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = placed.groupBy("_len", "_part").agg(F.count("*").alias("_n")).select("_len", "_part", before.alias("_before"))
+    ranked = placed.withColumn("_rn", F.row_number().over(Window.partitionBy("_len", "_part").orderBy(key)) - 1)
+    return ranked.join(starts, ["_len", "_part"]).withColumn("pos", F.col("_before") + F.col("_rn")).drop("_len", "_part", "_before", "_rn")
 
 
 def grouped(df: DataFrame, size: int = 10) -> DataFrame:

@@ -12,6 +12,7 @@ from lexigraph.operators import analytics as A
 from lexigraph.operators import fine_grained as FG
 from lexigraph.operators import graph_ops as G
 from lexigraph.operators import records as R
+from lexigraph.operators import splitting
 from lexigraph.sources import records as SRC
 from lexigraph.sources import sinks as K
 
@@ -168,3 +169,13 @@ def test_masks_and_roles(spark):
     assert [r.role for r in FG.unknown_roles(df).collect()] == ["Odd"]
     r = df.select(FG.masked(F.col("penman"), "role").alias("role"), FG.masked(F.col("penman"), "none").alias("same"), X.has_be_node(F.col("penman")).alias("be")).first()
     assert r.role.count(":role") == 2 and r.same.startswith("(b0") and r.be
+
+
+@pytest.mark.parametrize("options", [{}, {"task_rows": 20, "pieces": 8}, {"task_rows": 0, "pieces": 1}])
+def test_length_order(spark, options):
+    rows = [(i * 7 % 501, "x" * (3 if i % 3 else i % 5)) for i in range(500)] + [(None, "xxx"), (900, None), (901, "")]
+    got = splitting.length_ordered(spark.createDataFrame(rows, "k long, t string"), "t", "k", **options).collect()
+    order = sorted(rows, key=lambda r: (-1 if r[1] is None else len(r[1]), -1 if r[0] is None else r[0]))
+    assert [(r.k, r.t) for r in sorted(got, key=lambda r: r.pos)] == order and sorted(r.pos for r in got) == list(range(len(rows)))
+    empty = spark.createDataFrame([], "k long, t string")
+    assert splitting.length_ordered(empty, "t", "k", **options).count() == 0
