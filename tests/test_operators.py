@@ -165,6 +165,37 @@ def test_exact_alignment_is_the_best_of_all():
         assert matched >= alignment.compared(*sides, solver="climb")[0]
 
 
+#: Lines of parts whose alignment took the search over its steps when its bound was loose.
+QUANTITIES = [
+    (13, 18, 41, 18, 1, 43, 5, 49, 48, 49, 2, 37, 41, 18),
+    (24, 28, 36, 1, 7, 5, 19, 24, 2, 30, 7, 27, 16, 26, 14, 39),
+    (4, 37, 46, 46, 22, 43, 26, 17, 23, 35, 28, 20, 30, 5),
+]
+
+
+def test_exact_alignment_of_many_like_parts_needs_no_climbing():
+    for quantities in QUANTITIES:
+        lines = [f"part.n.01 PartOf -{min(i, 9)} Quantity {q}" for i, q in enumerate(quantities, 1)]
+        text, n = " ".join(["order.n.01", *lines]), len(lines)
+        pred, gold = (graphs.status_of(t)[1] for t in (text.rsplit(" ", 2)[0], text))
+        f, used = alignment.score(pred, gold)[2:]
+        assert used == "exact" and f == pytest.approx(2 * (4 * n + 3) / (8 * n + 7))
+
+
+def test_remembered_alignments_are_those_of_the_pair_itself():
+    rnd = random.Random(5)
+    for _ in range(60):
+        sides = []
+        for _ in range(2):
+            n = rnd.randrange(1, 6)
+            rows = [(rnd.choice("RS"), f"s{rnd.randrange(n)}", rnd.choice([f"s{rnd.randrange(n)}", "x", "y"])) for _ in range(rnd.randrange(8))]
+            sides.append(alignment.listed(rows, {f"s{i}": rnd.choice("ab") for i in range(n)}))
+        for kinds in (("instance", "attribute", "relation"), ("attribute",), ("relation",)):
+            pair = alignment.Pair(*sides, kinds)
+            matched, match, used, sizes = alignment.best(*sides, kinds=kinds)
+            assert (used, sizes) == ("exact", pair.sizes) and matched == pair.value(list(match)) == brute_match(*sides, kinds) <= pair.limit()
+
+
 def test_alignment_in_print_and_kinds():
     a, b = alignment.triples("(a / x :R (b / y) :S 1)"), alignment.triples("(q / x :R (r / z))")
     assert alignment.compared(a, b)[3] in ("a(x)-q(x) b(y)-r(z)",)
