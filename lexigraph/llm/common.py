@@ -98,6 +98,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is sorted and merged: a table that grows with the input is never broadcast through the driver.
+
+    Spark takes an exploded or packed table for as small as the file it is read from, so its own choice can send millions of rows.
+    """
+    return df.hint("merge")
+
+
 def fold(column: str, parts: int) -> Column:
     """crc32 of the value as text, modulo parts; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(parts)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, unsent
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -24,12 +24,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.where("b > a").join(unsent(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         # Small star: a node's smaller neighbours, and itself, hang on the smallest of them.
         small = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         floor = small.groupBy("a").agg(F.min("b").alias("m"))
-        hung = small.join(floor, "a")
+        hung = small.join(unsent(floor), "a")
         new = hung.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(floor.select("a", F.col("m").alias("b"))).distinct()
         new = materialize(new, "edges")
         sign = new.agg(F.count("*"), F.sum(F.xxhash64("b", "a").bitwiseAND(F.lit(0xFFFFFFFF))), F.bit_xor(F.xxhash64("a", "b"))).first()

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import tidy, unsent
 
 
 def to_units(members: DataFrame, key: str, spread: str, block: int) -> DataFrame:
@@ -23,7 +23,7 @@ def to_units(members: DataFrame, key: str, spread: str, block: int) -> DataFrame
     sizes are joined back, which AQE splits where a key is hot.
     """
     sizes = members.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
-    cut = members.join(sizes, key).withColumn("_blocks", F.ceil(F.col("_n") / F.lit(block)).cast("int"))
+    cut = members.join(unsent(sizes), key).withColumn("_blocks", F.ceil(F.col("_n") / F.lit(block)).cast("int"))
     cut = cut.withColumn("_own", F.pmod(F.xxhash64(spread, F.lit(11)), F.col("_blocks")).cast("int"))
     cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     low, high = F.least("_own", "_other"), F.greatest("_own", "_other")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, slices, tidy
+from .common import discard, materialize, slices, tidy, unsent
 from .components import connected_components
 from .pairing import Forest, by_unit, to_units, unit_ranges
 
@@ -130,12 +130,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Links join fingerprints; components are counted over the classes' smallest ids.
     links = verified_links(classes.select("fp"), radius)
     name = classes.select(F.col("fp").alias("b"), F.col("rep").alias("rep_b"))
-    named = links.join(classes.select(F.col("fp").alias("a"), F.col("rep").alias("rep_a")), "a").join(name, "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    named = links.join(unsent(classes.select(F.col("fp").alias("a"), F.col("rep").alias("rep_a"))), "a").join(unsent(name), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     # An id given to several rows ties their fingerprints together.
-    ties = found.join(classes, "fp").where(F.col(id_col) > F.col("rep")).select(F.col(id_col).alias("a"), F.col("rep").alias("b"))
+    ties = found.join(unsent(classes), "fp").where(F.col(id_col) > F.col("rep")).select(F.col(id_col).alias("a"), F.col("rep").alias("b"))
     shared = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1")
-    named = named.unionByName(ties.join(shared.select(F.col(id_col).alias("a")), "a", "left_semi"))
+    named = named.unionByName(ties.join(unsent(shared.select(F.col(id_col).alias("a"))), "a", "left_semi"))
     parts = connected_components(named)
-    of = classes.join(parts, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    out = found.join(of, "fp", "left")
+    of = classes.join(unsent(parts), F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    out = found.join(unsent(of), "fp", "left")
     return out.select(id_col, "fp", F.when(F.col(id_col).isNotNull(), F.col("component")).alias("component"))

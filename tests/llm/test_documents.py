@@ -195,6 +195,16 @@ def brute_components(fps):
     return {k: root(k) for k in ids}
 
 
+def test_no_growing_table_of_simhash_is_broadcast(spark):
+    df = spark.createDataFrame([(i, f"some words number {i % 40}") for i in range(200)], "doc_id long, text string")
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    classes = simhash.fingerprints(df).select("fp").distinct()
+    found = simhash.near_duplicates(df)
+    assert found.count() == 200
+    for frame in (found, simhash.verified_links(common.materialize(classes, "test"))):
+        assert "SortMergeJoin" in plan(frame) and "Broadcast" not in plan(frame)
+
+
 def test_simhash_matches_brute_force(docs, empty):
     df, texts = docs
     got = {r.doc_id: r for r in simhash.near_duplicates(df).collect()}
